@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,6 +97,27 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _rounded(scaled: Column, error: Column) -> Column:
+    """Nearest whole number to scaled + error, the exact value behind a rounded product; ties to even."""
+    whole = F.floor(scaled)
+    part = scaled - whole
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    return whole + F.when(up, 1).otherwise(0)
+
+
+def format_1f(value: Column) -> Column:
+    """One decimal as C's ``%.1f`` prints it, for magnitudes below 1e15."""
+    ten = F.lit(10.0)
+
+    def text_of(x: Column) -> Column:
+        tenths = _let(F.abs(x) * ten, lambda s: _rounded(s, _product_error(F.abs(x), ten, s)))
+        sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
+        digits = _let(tenths, lambda n: F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string")))
+        return F.concat(sign, digits)
+
+    return F.when(value.isNotNull(), _let(value.cast("double"), text_of))
+
+
 def format_4g(value: Column) -> Column:
     """Four significant digits as C's ``%.4g`` prints them.
 
@@ -132,15 +151,9 @@ def format_4g(value: Column) -> Column:
         )
         exact = F.when(exponent <= 3, grown).otherwise(shrunk)
         return F.when(~exponent.between(-19, 25), jvm_text(size)).otherwise(
-            _let(exact, lambda x: _let(rounded(x["s"], x["err"]), lambda digits: place(digits, exponent)))
+            _let(exact, lambda x: _let(_rounded(x["s"], x["err"]), lambda digits: place(digits, exponent)))
         )
 
-    def rounded(scaled: Column, error: Column) -> Column:
-        whole = F.floor(scaled)
-        part = scaled - whole
-        up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
-        return whole + F.when(up, 1).otherwise(0)
-
     def place(digits: Column, exponent: Column) -> Column:
         carried = digits >= 10000
         text = F.when(carried, F.lit("1000")).otherwise(digits.cast("string"))
@@ -203,6 +216,3 @@ def option_list(text: Column) -> Column:
 def label_list(text: Column) -> Column:
     return F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit(" "), F.lit(""))
 
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

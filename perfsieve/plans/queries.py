@@ -8,6 +8,8 @@ from perfsieve.plans.registry import CHECKS, QUERIES, Query
 
 _MODULES = [
     "summary_queries",
+    "feature_queries",
+    "order_queries",
 ]
 for _module in _MODULES:
     importlib.import_module(f"perfsieve.plans.{_module}")
