@@ -83,12 +83,17 @@ def _margin(small: int) -> float:
 def exact_quantiles(df: DataFrame, groups: list[str], value: str, shares: list[float]) -> DataFrame:
     """Linearly interpolated quantiles per group, exact for groups of any size.
 
-    Pass one sketches, per group, a narrow value range around each wanted rank; pass two counts what
-    lies below the range and ranks only the rows inside it. Output: groups, n, quantiles (array).
-    The number of groups must be small (columns, or heavy keys): the ranges are broadcast.
+    When every group is small one aggregate does it. Otherwise pass one sketches, per group, a narrow
+    value range around each wanted rank; pass two counts what lies below the range and ranks only the
+    rows inside it. Output: groups, n, quantiles (array). The number of groups must be small (columns,
+    or heavy keys): the ranges are broadcast.
     """
     rows = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
     small = setting(df.sparkSession, "smallGroup", SMALL_GROUP)
+    largest = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    if (largest or 0) <= small:
+        wanted = F.percentile("_v", F.array(*[F.lit(float(s)) for s in shares]))
+        return rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), wanted.alias("quantiles"))
     margin = _margin(small)
     low = [max(0.0, s - margin) for s in shares]
     high = [min(1.0, s + margin) for s in shares]

@@ -10,6 +10,7 @@ _MODULES = [
     "summary_queries",
     "feature_queries",
     "order_queries",
+    "text_queries",
 ]
 for _module in _MODULES:
     importlib.import_module(f"perfsieve.plans.{_module}")
