@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from perfsieve import constants as C
 from perfsieve.ordering import running_totals
+from perfsieve.session import materialize
 
 
 def threshold_table(scores: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
@@ -18,7 +19,7 @@ def threshold_table(scores: DataFrame, label: str = "label", score: str = "score
     counted = scores.groupBy((-F.col(score).cast("double")).alias("_neg")).agg(
         F.sum(F.col(label).cast("bigint")).alias("positives"), F.count(F.lit(1)).alias("rows")
     )
-    totals = running_totals(counted, "_neg", ["positives", "rows"])
+    totals = running_totals(materialize(counted, "scores"), "_neg", ["positives", "rows"])
     return totals.withColumn("threshold", -F.col("_neg") + F.lit(0.0)).drop("_neg")
 
 

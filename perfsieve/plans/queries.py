@@ -11,6 +11,7 @@ _MODULES = [
     "feature_queries",
     "order_queries",
     "text_queries",
+    "series_queries",
 ]
 for _module in _MODULES:
     importlib.import_module(f"perfsieve.plans.{_module}")
