@@ -12,6 +12,7 @@ _MODULES = [
     "order_queries",
     "text_queries",
     "series_queries",
+    "model_queries",
 ]
 for _module in _MODULES:
     importlib.import_module(f"perfsieve.plans.{_module}")
