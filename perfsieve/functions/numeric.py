@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column
@@ -105,22 +106,27 @@ def platform_arch(text: Column) -> Column:
     return chain
 
 
-def bin_index(value: Column, edges: Column) -> Column:
+def _count(conditions: list[Column]) -> Column:
+    return functools.reduce(lambda a, b: a + b, [c.cast("int") for c in conditions])
+
+
+def bin_index(value: Column, edges: list[float] | None) -> Column:
     """Index of the bin holding ``value`` (left-closed search); -1 for null or without edges."""
-    below = F.size(F.filter(edges, lambda e: e < value))
-    index = F.greatest(F.lit(0), F.least(F.size(edges) - 2, below - 1))
-    return F.when(value.isNull() | edges.isNull(), F.lit(-1)).otherwise(index)
+    if not edges:
+        return F.lit(-1)
+    below = _count([value > F.lit(float(e)) for e in edges])
+    index = F.greatest(F.lit(0), F.least(F.lit(len(edges) - 2), below - 1))
+    return F.when(value.isNull(), F.lit(-1)).otherwise(index)
 
 
-def bin_token(name: str, value: Column, edges: Column, n_bins: int) -> Column:
+def bin_token(name: str, value: Column, edges: list[float] | None, n_bins: int) -> Column:
     """``name=q<k>`` with k scaled to 0..n_bins-1; sign tokens without edges; ``missing`` for null."""
-    top = F.size(edges) - 2
-    upto = F.size(F.filter(edges, lambda e: e <= value)) - 1
-    b = F.greatest(F.lit(0), F.least(upto, top))
-    q = F.bround(b * F.lit(float(n_bins - 1)) / F.greatest(F.lit(1), top)).cast("int")
-    sign = F.when(value > 0, "pos").when(value < 0, "neg").otherwise("zero")
-    return (
-        F.when(value.isNull(), F.lit(f"{name}=missing"))
-        .when(edges.isNull(), F.concat(F.lit(f"{name}="), sign))
-        .otherwise(F.concat(F.lit(f"{name}=q"), q.cast("string")))
-    )
+    missing = F.when(value.isNull(), F.lit(f"{name}=missing"))
+    if not edges:
+        sign = F.when(value > 0, "pos").when(value < 0, "neg").otherwise("zero")
+        return missing.otherwise(F.concat(F.lit(f"{name}="), sign))
+    top = len(edges) - 2
+    upto = _count([value >= F.lit(float(e)) for e in edges]) - 1
+    b = F.greatest(F.lit(0), F.least(upto, F.lit(top)))
+    q = F.bround(b * F.lit(float(n_bins - 1)) / F.lit(max(1, top))).cast("int")
+    return missing.otherwise(F.concat(F.lit(f"{name}=q"), q.cast("string")))

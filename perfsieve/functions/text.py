@@ -49,8 +49,7 @@ def normalize_space(text: Column) -> Column:
 
 def fill_empty(text: Column) -> Column:
     """Stripped text, or a marker when nothing is left."""
-    stripped = strip(F.coalesce(text, F.lit("")))
-    return F.when(stripped == "", F.lit(NO_NOTES)).otherwise(stripped)
+    return F.regexp_replace(strip(F.coalesce(text, F.lit(""))), r"\A\z", NO_NOTES)
 
 
 def sanitize(text: Column) -> Column:

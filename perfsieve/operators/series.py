@@ -38,7 +38,7 @@ def resolve_series(pairs: DataFrame, files: DataFrame, android_rule: bool = Fals
     a class the alphabetically first wins.
     """
     # One row per signature, holding its few folders.
-    known = files.groupBy(C.SIGNATURE_ID).agg(F.array_sort(F.collect_set("folder")).alias("_folders"))
+    known = files.groupBy(C.SIGNATURE_ID).agg(F.sort_array(F.collect_set("folder")).alias("_folders"))
     joined = join_unique(pairs, known, [C.SIGNATURE_ID])
 
     def shown(c: str) -> Column:
@@ -216,7 +216,7 @@ def window_arrays(rows: DataFrame, n_pre: int, n_post: int) -> DataFrame:
     useful = rows.where(is_point | (F.col("idx") >= 1))
     spread = useful.select(*SERIES_KEYS, "_kind", "rn", "idx", "value", F.explode(F.sequence(first, last)).alias("_block"))
     blocks = spread.groupBy(*SERIES_KEYS, "_block").agg(
-        F.array_sort(F.collect_list(F.when(is_point, F.struct("rn", "value")))).alias("_points"),
+        F.sort_array(F.collect_list(F.when(is_point, F.struct("rn", "value")))).alias("_points"),
         F.collect_set(F.when(~is_point, F.col("idx"))).alias("_wanted"),
     )
     asked = blocks.where(F.size("_wanted") > 0).select(
@@ -233,7 +233,7 @@ def window_arrays(rows: DataFrame, n_pre: int, n_post: int) -> DataFrame:
 
 def _side_stats(values: str, out: str, df: DataFrame) -> DataFrame:
     """Add ``<out>_mean/_std/_median/_p90/_slope`` of an array column."""
-    df = df.withColumns({f"{out}_mean": arrays.mean(F.col(values)), f"{out}_sorted": F.array_sort(values)})
+    df = df.withColumns({f"{out}_mean": arrays.mean(F.col(values)), f"{out}_sorted": F.sort_array(values)})
     return df.withColumns(
         {
             f"{out}_std": arrays.std_sample(F.col(values), F.col(f"{out}_mean")),

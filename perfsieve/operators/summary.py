@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perfsieve import constants as C
-from perfsieve.functions import numeric, text
+from perfsieve.functions import arrays, numeric, text
 from perfsieve.ordering import exact_quantiles
 from perfsieve.skew import heavy_keys, split_heavy
 
@@ -53,24 +53,33 @@ def category_profile(
     cells = F.array(
         *[F.struct(F.lit(i).alias("k"), F.col(c).cast("string").alias("v")) for i, c in enumerate(columns)]
     )
-    values = df.select(*keys, order, F.explode(F.filter(cells, lambda c: c["v"].isNotNull())).alias("_c"))
+    values = df.select(*keys, order, F.explode(cells).alias("_c")).where(F.col("_c.v").isNotNull())
     counted = values.groupBy(*keys, F.col("_c.k").alias("_k"), F.col("_c.v").alias("_v")).agg(
         F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first")
     )
-    rank = F.struct(-F.col("_n"), F.col("_first"))
+    best = counted.groupBy(*keys, "_k").agg(
+        F.min_by("_v", F.struct(-F.col("_n"), F.col("_first"))).alias("mode"), F.count(F.lit(1)).alias("nunique")
+    )
+    # One entry per column at most, turned back into columns.
+    entries = F.collect_list(F.struct("_k", F.struct("mode", "nunique")))
+    profiles = best.groupBy(*keys).agg(F.map_from_entries(entries).alias("_profiles"))
     wanted = []
     for i, c in enumerate(columns):
-        this = F.col("_k") == i
+        profile = F.col("_profiles")[F.lit(i)]
         if c in modes:
-            wanted.append(F.min_by("_v", F.when(this, rank)).cast(types[c]).alias(f"{c}__mode"))
+            wanted.append(profile["mode"].cast(types[c]).alias(f"{c}__mode"))
         if c in counts:
-            wanted.append(F.count(F.when(this, F.lit(1))).alias(f"{c}__nunique"))
-    return counted.groupBy(*keys).agg(*wanted)
+            wanted.append(F.coalesce(profile["nunique"], F.lit(0)).alias(f"{c}__nunique"))
+    return profiles.select(*keys, *wanted)
 
 
 def grouped_p90(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Interpolated 90th percentile for ordinary keys: a key's values meet in one aggregate."""
-    return df.groupBy(*keys).agg(*[F.percentile(c, F.lit(0.9)).alias(f"{c}__p90") for c in columns])
+    """Interpolated 90th percentile for ordinary keys: a key's values meet in one short list."""
+    return df.groupBy(*keys).agg(*[_list_p90(c) for c in columns])
+
+
+def _list_p90(c: str) -> Column:
+    return arrays.quantile(F.sort_array(F.collect_list(F.col(c).cast("double"))), 0.9).alias(f"{c}__p90")
 
 
 def heavy_p90(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -134,8 +143,7 @@ def aggregate_alerts(
 
     def ordinary(df: DataFrame) -> DataFrame:
         placed = keyed(df).repartition(*keys)
-        p90 = [F.percentile(c, F.lit(0.9)).alias(f"{c}__p90") for c in numbers]
-        return basic(placed, p90).join(category_profile(placed, keys, order, categories, counted), keys, "left")
+        return basic(placed, [_list_p90(c) for c in numbers]).join(category_profile(placed, keys, order, categories, counted), keys, "left")
 
     def of_heavy(df: DataFrame) -> DataFrame:
         df = keyed(df)

@@ -7,6 +7,8 @@ row per bucket.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,8 +17,8 @@ from perfsieve.session import setting
 
 MAX_BUCKETS = 1024
 ROWS_PER_BUCKET = 250_000
-SKETCH_ACCURACY = 100_000
-RANK_MARGIN = 1e-4
+SKETCH_ACCURACY = 10_000
+FINE_SKETCH_ROWS = 100_000_000
 SMALL_GROUP = 100_000
 
 
@@ -75,9 +77,14 @@ def previous_value(df: DataFrame, key: str, out: str) -> DataFrame:
     )
 
 
-def _margin(small: int) -> float:
-    """Share of rows on each side of a wanted rank: over ten times the sketch error, two ranks at least."""
-    return max(RANK_MARGIN, 2.0 / small)
+def _precision(n: int, small: int) -> tuple[int, float]:
+    """(sketch accuracy, share of rows on each side of a wanted rank).
+
+    The share is ten times the sketch's error, and two ranks at least; larger tables get a finer sketch
+    so that a range holds few rows.
+    """
+    accuracy = SKETCH_ACCURACY if n <= FINE_SKETCH_ROWS else 10 * SKETCH_ACCURACY
+    return accuracy, max(10.0 / accuracy, 2.0 / small)
 
 
 def exact_quantiles(df: DataFrame, groups: list[str], value: str, shares: list[float]) -> DataFrame:
@@ -94,27 +101,24 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, shares: list[f
     if (largest or 0) <= small:
         wanted = F.percentile("_v", F.array(*[F.lit(float(s)) for s in shares]))
         return rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), wanted.alias("quantiles"))
-    margin = _margin(small)
+    accuracy, margin = _precision(largest, small)
     low = [max(0.0, s - margin) for s in shares]
     high = [min(1.0, s + margin) for s in shares]
+    both = F.percentile_approx("_v", low + high, accuracy)
     sketch = rows.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", low, SKETCH_ACCURACY).alias("_low"),
-        F.percentile_approx("_v", high, SKETCH_ACCURACY).alias("_high"),
+        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), both.alias("_cuts")
     )
 
-    def bound(i: int, sketched: str, extreme: str, at_extreme: bool) -> Column:
+    def bound(i: int, extreme: str, at_extreme: bool) -> Column:
         if at_extreme:
             return F.col(extreme)
-        return F.when(F.col("_n") <= small, F.col(extreme)).otherwise(F.col(sketched)[i])
+        return F.when(F.col("_n") <= small, F.col(extreme)).otherwise(F.col("_cuts")[i])
 
     ranges = sketch.select(
         *groups,
         "_n",
-        F.array(*[bound(i, "_low", "_min", x == 0.0) for i, x in enumerate(low)]).alias("_low"),
-        F.array(*[bound(i, "_high", "_max", x == 1.0) for i, x in enumerate(high)]).alias("_high"),
+        F.array(*[bound(i, "_min", x == 0.0) for i, x in enumerate(low)]).alias("_low"),
+        F.array(*[bound(len(low) + i, "_max", x == 1.0) for i, x in enumerate(high)]).alias("_high"),
     )
     placed = rows.join(F.broadcast(ranges), groups)
     below = placed.groupBy(*groups).agg(
@@ -122,17 +126,11 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, shares: list[f
             *[F.sum(F.when(F.col("_v") < F.col("_low")[i], 1).otherwise(0)) for i in range(len(shares))]
         ).alias("_below")
     )
-    index = F.sequence(F.lit(0), F.lit(len(shares) - 1))
-    inside = placed.select(
-        *groups,
-        "_v",
-        F.explode(
-            F.filter(
-                index,
-                lambda i: (F.col("_v") >= F.get(F.col("_low"), i)) & (F.col("_v") <= F.get(F.col("_high"), i)),
-            )
-        ).alias("_i"),
-    )
+    hits = [F.col("_v").between(F.col("_low")[i], F.col("_high")[i]) for i in range(len(shares))]
+    # Few rows pass the plain filter; only those are matched to their ranges.
+    near = placed.where(functools.reduce(lambda a, b: a | b, hits))
+    matched = F.array(*[F.when(hit, F.lit(i)) for i, hit in enumerate(hits)])
+    inside = near.select(*groups, "_v", F.explode(F.array_compact(matched)).alias("_i"))
     histogram = inside.groupBy(*groups, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
     upto = Window.partitionBy(*groups, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     counted = histogram.withColumn("_upto", F.sum("_c").over(upto))
@@ -162,16 +160,15 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, shares: list[f
         ),
     )
     return picked.groupBy(*groups, F.col("_n").alias("n")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda s: s["_q"]).alias("quantiles")
+        F.transform(F.sort_array(F.collect_list(F.struct("_i", "_q"))), lambda s: s["_q"]).alias("quantiles")
     )
 
 
 def value_at_rank(df: DataFrame, col: str, rank: int, n: int) -> tuple[int, int, int]:
     """(value, rows below it, rows equal to it) at 0-based ``rank`` among ``n`` non-null longs."""
-    share, margin = rank / n, _margin(setting(df.sparkSession, "smallGroup", SMALL_GROUP))
-    low, high = df.agg(
-        F.percentile_approx(col, [max(0.0, share - margin), min(1.0, share + margin)], SKETCH_ACCURACY)
-    ).first()[0]
+    accuracy, margin = _precision(n, setting(df.sparkSession, "smallGroup", SMALL_GROUP))
+    around = [max(0.0, rank / n - margin), min(1.0, rank / n + margin)]
+    low, high = df.agg(F.percentile_approx(col, around, accuracy)).first()[0]
     below = df.where(F.col(col) < low).count()
     inside = df.where(F.col(col).between(low, high)).groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
     # A rank range of twice the margin: one partition of distinct values, spillable, no collect.

@@ -11,6 +11,7 @@ from perfsieve.operators import enrich, selection, serialize, summary
 from perfsieve.plans import proxies as P
 from perfsieve.plans.registry import comparable, query, sql_round
 from perfsieve.plans.summary_queries import TRUTHS, alert_summary_sql, sql_plain
+from perfsieve.session import materialize
 
 ID = C.SUMMARY_ID
 LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -142,7 +143,7 @@ FROM r
 
 @query("backfill_stats", BACKFILL_SQL)
 def backfill_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = P.table(spark, sf_dir, "lineitem").selectExpr(*LINE, "l_tax", f"{P.CONTEXT} AS context")
+    lines = P.lines(spark, sf_dir).selectExpr(*LINE, "l_tax", f"{P.CONTEXT} AS context")
     stats = enrich.add_backfill_features(lines, "context", "l_tax").drop("l_tax", "context")
     return comparable(stats.withColumn("rcd_ctxt_zscore", F.round("rcd_ctxt_zscore", 5)))
 
@@ -168,7 +169,7 @@ def _edges(c: str, table: str = "lineitem") -> str:
     ),
 )
 def quantile_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = serialize.fit_bin_edges(P.table(spark, sf_dir, "lineitem"), BINNED)
+    edges = serialize.fit_bin_edges(P.lines(spark, sf_dir), BINNED)
     rows = [(c, i + 1, e) for c, found in edges.items() for i, e in enumerate(found)]
     return comparable(spark.createDataFrame(rows, "feature string, i bigint, edge double"))
 
@@ -192,14 +193,14 @@ def _token(c: str) -> str:
 
 @query("quantile_bin", _bins_sql(_left_bin))
 def quantile_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = P.table(spark, sf_dir, "lineitem")
+    lines = P.lines(spark, sf_dir)
     edges = serialize.fit_bin_edges(lines, BINNED)
     return comparable(lines.select(*LINE, *[serialize.bin_of(edges, c).alias(f"{c}_bin") for c in BINNED]))
 
 
 @query("quantile_token", _bins_sql(_token))
 def quantile_token(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = P.table(spark, sf_dir, "lineitem")
+    lines = P.lines(spark, sf_dir)
     edges = serialize.fit_bin_edges(lines, BINNED)
     return comparable(lines.select(*LINE, *[serialize.scaled_bin_token(edges, c).alias(f"{c}_bin") for c in BINNED]))
 
@@ -288,7 +289,7 @@ CARDINALITIES = {
     ),
 )
 def cardinality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = P.table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in CARDINALITIES.items()])
+    columns = P.lines(spark, sf_dir).selectExpr(*[f"{e} AS {n}" for n, e in CARDINALITIES.items()])
     kept = selection.without_high_cardinality(columns, columns.columns)
     rows = [(c, int(c in kept)) for c in columns.columns]
     return spark.createDataFrame(rows, "feature string, kept bigint")
@@ -299,10 +300,11 @@ BUG_SUMMARY = [ID, "seq", C.BUG_NUMBER]
 
 
 def _label_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.alerts(spark, sf_dir, BUG_SUMMARY).groupBy(ID).agg(
+    labels = P.alerts(spark, sf_dir, BUG_SUMMARY).groupBy(ID).agg(
         F.bool_or(F.col(C.BUG_NUMBER).isNotNull()).alias(C.LABEL),
         summary.first_non_null(C.BUG_NUMBER, "seq").alias(C.BUG_ID),
     )
+    return materialize(labels, "labels")
 
 
 @query(

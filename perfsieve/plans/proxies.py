@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from perfsieve.session import spread
+
 
 def choose(index: str, values: list[str | None]) -> str:
     """CASE that picks one of the texts by a non-negative integer expression."""
@@ -144,7 +146,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def alerts(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> DataFrame:
-    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    lines, orders = spread(table(spark, sf_dir, "lineitem")), table(spark, sf_dir, "orders")
     joined = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])
     return joined.selectExpr(*[f"{ALERT_COLUMNS[n]} AS {n}" for n in (names or ALERT_COLUMNS)])
 
@@ -170,7 +172,7 @@ def series_sql() -> str:
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr(*[f"{e} AS {n}" for n, e in NOTE_COLUMNS.items()])
+    return spread(table(spark, sf_dir, "documents")).selectExpr(*[f"{e} AS {n}" for n, e in NOTE_COLUMNS.items()])
 
 
 def notes_sql() -> str:
@@ -185,3 +187,8 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scores_sql() -> str:
     return f"SELECT {listing(SCORE_COLUMNS)} FROM labels l JOIN documents d ON l.doc_id = d.doc_id"
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem, for expensive row-wise work."""
+    return spread(table(spark, sf_dir, "lineitem"))

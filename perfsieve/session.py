@@ -55,3 +55,13 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     path = work_folder(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, most: int = 64) -> DataFrame:
+    """Rows of a scan with few splits (one small file, say) dealt out to more tasks.
+
+    For expensive row-wise work on small inputs. A scan that already has a split per core, as any
+    large table has, is returned unchanged.
+    """
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, most)
+    return df if df.rdd.getNumPartitions() * 2 > wanted else df.repartition(wanted)
