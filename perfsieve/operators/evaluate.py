@@ -6,7 +6,7 @@ the distinct scores then give every threshold metric without sorting all rows in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from perfsieve import constants as C
@@ -48,13 +48,13 @@ def roc_auc(scores: DataFrame, label: str = "label", score: str = "score") -> Da
 def pr_curve(scores: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """precision, recall per distinct threshold, and the end point (1, 0)."""
     steps = threshold_table(scores, label, score)
-    total = scores.agg(F.sum(F.col(label).cast("bigint")).alias("total"))
-    points = steps.join(F.broadcast(total.withColumn("_g", F.lit(1))), F.lit(1) == F.col("_g")).select(
+    total = steps.agg(F.sum("positives")).first()[0] or 0  # one number
+    points = steps.select(
         "threshold",
         (F.col("cum_positives") / F.col("cum_rows")).alias("precision"),
-        F.coalesce(F.try_divide(F.col("cum_positives"), F.col("total")), F.lit(1.0)).alias("recall"),
+        F.coalesce(F.try_divide(F.col("cum_positives"), F.lit(total)), F.lit(1.0)).alias("recall"),
     )
-    end = total.select(F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
+    end = scores.sparkSession.createDataFrame([(None, 1.0, 0.0)], "threshold double, precision double, recall double")
     return points.unionByName(end)
 
 
@@ -63,25 +63,23 @@ def precision_recall_at(
 ) -> DataFrame:
     """Precision and recall among the min(k, n) best rows; equal scores are settled by the key."""
     ks = ks or C.TOP_KS
-    best = scores.select(label, score, key).orderBy(F.desc(score), F.asc(key)).limit(max(ks))
+    order = [F.desc(score), F.asc(key)]
+    best = scores.select(label, score, key).orderBy(*order).limit(max(ks))
     # At most max(ks) rows: one small ordered window.
-    ranked = best.withColumn("_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(score), F.asc(key))))
+    ranked = best.withColumn("_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
     among = [F.sum(F.when(F.col("_rank") <= k, F.col(label).cast("bigint"))).alias(f"hits_{k}") for k in ks]
-    top = ranked.agg(*among).withColumn("_g", F.lit(1))
     whole = scores.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("positives"))
-    both = whole.withColumn("_g", F.lit(1)).join(top, "_g")
-    rows = both.select("n", "positives", F.explode(F.array(*[_k_entry(k) for k in ks])).alias("e"))
+    both = ranked.agg(*among).unionByName(whole, allowMissingColumns=True)
+    one = both.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in both.columns])
+    entries = [F.struct(F.lit(k).cast("bigint").alias("k"), F.col(f"hits_{k}").alias("hits")) for k in ks]
+    rows = one.select("n", "positives", F.explode(F.array(*entries)).alias("e"))
     return rows.select(
         F.col("e.k").alias("k"),
-        (F.col("e.hits") / F.least(F.col("e.k"), F.col("n"))).alias("precision"),
+        F.try_divide(F.col("e.hits"), F.least(F.col("e.k"), F.col("n"))).alias("precision"),
         (F.col("e.hits") / F.greatest(F.lit(1), F.col("positives"))).alias("recall"),
     )
 
 
-def _k_entry(k: int) -> Column:
-    return F.struct(F.lit(k).cast("bigint").alias("k"), F.col(f"hits_{k}").alias("hits"))
-
-
 def confusion_shares(scores: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """All four (label, predicted) cells as shares of their true class."""
     predicted = (F.col(score) > C.SCORE_THRESHOLD).cast("int")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from perfsieve import constants as C
 from perfsieve.functions import arrays, numeric
 from perfsieve.operators.summary import signature_list
-from perfsieve.ordering import MAX_BUCKETS, cut_values, exact_quantiles, with_bucket
+from perfsieve.ordering import MAX_BUCKETS, cut_values, exact_quantiles, merge_rows, with_bucket
 from perfsieve.session import materialize
 from perfsieve.skew import heavy_keys, join_unique, split_heavy
 from perfsieve.sources.series import SERIES_KEYS
@@ -383,7 +383,7 @@ def join_features(summary: DataFrame, rolled: DataFrame, key: str = C.SUMMARY_ID
 def coverage(summary: DataFrame, column: str = "ts_sig_used") -> DataFrame:
     """count, mean, std, min, quartiles, max of a count column and the share of rows above zero."""
     rows = summary.select(F.lit(0).alias("_g"), F.coalesce(F.col(column), F.lit(0)).alias("v"))
-    basic = rows.groupBy("_g").agg(
+    basic = rows.agg(
         F.count(F.lit(1)).alias("count"),
         F.avg("v").alias("mean"),
         F.stddev_samp("v").alias("std"),
@@ -391,7 +391,5 @@ def coverage(summary: DataFrame, column: str = "ts_sig_used") -> DataFrame:
         F.max("v").cast("double").alias("max"),
         F.avg(F.when(F.col("v") > 0, 1.0).otherwise(0.0)).alias("share_above_zero"),
     )
-    quartiles = exact_quantiles(rows, ["_g"], "v", [0.25, 0.5, 0.75]).select(
-        "_g", *[F.col("quantiles")[i].alias(n) for i, n in enumerate(["q25", "q50", "q75"])]
-    )
-    return basic.join(F.broadcast(quartiles), "_g").drop("_g")
+    quartiles = exact_quantiles(rows, ["_g"], "v", [0.25, 0.5, 0.75])
+    return merge_rows(basic, quartiles.select(*[F.col("quantiles")[i].alias(n) for i, n in enumerate(["q25", "q50", "q75"])]))

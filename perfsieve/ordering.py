@@ -164,6 +164,12 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, shares: list[f
     )
 
 
+def merge_rows(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Two one-row tables of different columns as one row."""
+    both = left.unionByName(right, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
+
+
 def value_at_rank(df: DataFrame, col: str, rank: int, n: int) -> tuple[int, int, int]:
     """(value, rows below it, rows equal to it) at 0-based ``rank`` among ``n`` non-null longs."""
     accuracy, margin = _precision(n, setting(df.sparkSession, "smallGroup", SMALL_GROUP))
