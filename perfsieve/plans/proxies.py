@@ -45,14 +45,14 @@ OPTIONS = [
 ]
 TAGS = ["Infra, Improvement", "infra", "a,,a", "", None, "regression-backedout,early-beta-or-earlier"]
 FRAMEWORKS = ["talos", "browsertime", "awsy", "android-perf"]
-REPOSITORIES = ["autoland", "mozilla-central", "mozilla-beta", "fenix-autoland", "firefox-android"]
+REPOSITORIES = ["autoland", "central", "beta", "mobile-autoland", "mobile-android"]
 # Folder of the series files, by event type.
 FOLDERS = {
     "click": "autoland1",
     "view": "autoland2",
-    "error": "mozilla-central",
-    "purchase": "firefox-android",
-    "signup": "mozilla-beta",
+    "error": "central",
+    "purchase": "mobile-android",
+    "signup": "beta",
 }
 FOLDER = "CASE " + " ".join(f"WHEN event_type = '{k}' THEN '{v}'" for k, v in FOLDERS.items()) + " END"
 

@@ -278,11 +278,11 @@ def ts_window_features_single(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "ts_rollup_single",
     f"""WITH {SINGLE_SQL} SELECT {ID}, count(ts_n_total) AS ts_sig_used, count(*) - count(ts_n_total) AS ts_sig_missing,
-        {', '.join(f"{sql_round(f'avg({c})', 9)} AS {c}__mean_over_sigs, {sql_round(f'max({c})', 9)} AS {c}__max_over_sigs" for c in SINGLE_NAMES)}
+        {', '.join(f"{sql_round(f'avg({c})')} AS {c}__mean_over_sigs, {sql_round(f'max({c})')} AS {c}__max_over_sigs" for c in SINGLE_NAMES)}
         FROM single GROUP BY {ID}""",
 )
 def ts_rollup_single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparable(S.rollup_single(single(spark, sf_dir)), 9)
+    return comparable(S.rollup_single(single(spark, sf_dir)))
 
 
 @query(

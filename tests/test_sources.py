@@ -31,7 +31,7 @@ def root(tmp_path_factory):
                     "alert_summary_bug_number": bug,
                     "signature_id": int(rng.integers(1, 7)) if rng.random() > 0.1 else "bad",
                     "push_timestamp": str(pd.Timestamp("2024-01-01") + pd.Timedelta(hours=3 * summary)),
-                    "alert_summary_repository": "autoland" if summary % 2 else "mozilla-central",
+                    "alert_summary_repository": "autoland" if summary % 2 else "central",
                     "alert_summary_framework": "talos",
                     "alert_summary_push_id": 100 + summary,
                     "alert_summary_revision": f"r{summary}",
@@ -52,7 +52,7 @@ def root(tmp_path_factory):
     (base / "deep").mkdir()
     pd.DataFrame(rows).to_csv(base / "deep" / "alerts_data.csv", index=False)
     pd.DataFrame([{"id": 900 + s, "priority": ["P1", "P2", "--"][s % 3 - 1]} for s in range(0, 120, 3)]).to_csv(base / "bugs_data.csv", index=False)
-    for folder, signatures in {"autoland1": [1, 2, 3], "mozilla-central": [3, 4, 5], "other": ["notanid"]}.items():
+    for folder, signatures in {"autoland1": [1, 2, 3], "central": [3, 4, 5], "other": ["notanid"]}.items():
         place = base / "timeseries-data" / folder
         place.mkdir(parents=True)
         for signature in signatures:
@@ -87,13 +87,13 @@ def test_missing_inputs(spark, tmp_path):
 
 def test_series_files(spark, root):
     listed = series.series_files(spark, root)
-    assert {tuple(r) for r in listed.collect()} == {("autoland1", i) for i in (1, 2, 3)} | {("mozilla-central", i) for i in (3, 4, 5)}
+    assert {tuple(r) for r in listed.collect()} == {("autoland1", i) for i in (1, 2, 3)} | {("central", i) for i in (3, 4, 5)}
     points = series.scan_series(spark, f"{root}/timeseries-data")
     assert points.count() == 600
     clean = series.clean_points(points, need_push=True)
     assert clean.count() == 594 and dict(clean.dtypes)["push_id"] == "double"
     report = {r["item"]: r["n"] for r in series.catalog_report(listed).collect()}
-    assert report == {"folder:autoland1": 3, "folder:mozilla-central": 3, "unique_signatures": 5, "signatures_in_several_folders": 1}
+    assert report == {"folder:autoland1": 3, "folder:central": 3, "unique_signatures": 5, "signatures_in_several_folders": 1}
 
 
 def test_cache_key_follows_parameters_and_input(spark, tmp_path):
