@@ -18,11 +18,13 @@ HEAVY_ROWS = 200_000
 MAX_HEAVY_KEYS = 100_000
 
 
-def heavy_keys(df: DataFrame, keys: list[str], heavy_rows: int | None = None) -> DataFrame | None:
+def heavy_keys(
+    df: DataFrame, keys: list[str], heavy_rows: int | None = None, max_keys: int | None = None
+) -> DataFrame | None:
     """The heavy values of ``keys``, or None when there are none (the usual case)."""
     spark = df.sparkSession
     limit = heavy_rows or setting(spark, "heavyRows", HEAVY_ROWS)
-    max_keys = setting(spark, "maxHeavyKeys", MAX_HEAVY_KEYS)
+    max_keys = min(max_keys or MAX_HEAVY_KEYS, setting(spark, "maxHeavyKeys", MAX_HEAVY_KEYS))
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     # At most 63 size classes come back to the driver, whatever the number of keys.
     classes = (
@@ -61,14 +63,15 @@ def join_unique(
     right: DataFrame,
     on: list[str],
     how: str = "left",
-    heavy_rows: int | None = None,
+    max_keys: int | None = None,
 ) -> DataFrame:
     """Equi-join against a side with at most one row per key, balanced for heavy left keys.
 
     Rows of heavy keys meet a broadcast of just those keys' right rows (one per key, so bounded by
-    the number of heavy keys) and are never shuffled; all other rows take the ordinary join.
+    the number of heavy keys) and are never shuffled; all other rows take the ordinary join. Give a
+    smaller ``max_keys`` when right rows are wide.
     """
-    heavy = heavy_keys(left, on, heavy_rows)
+    heavy = heavy_keys(left, on, max_keys=max_keys)
     if heavy is None:
         return left.join(right, on, how)
     hot, cold = split_heavy(left, on, heavy)

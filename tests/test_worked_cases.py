@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from perfsieve.functions import backfill, numeric, text
 from perfsieve.operators import enrich, evaluate, serialize, splits
+from perfsieve.session import materialize
 
 
 def column(spark, values, expression, kind="string"):
@@ -147,6 +148,9 @@ def test_label_columns(spark):
     assert [tuple(r)[1:] for r in out.collect()] == [(0, 1, 1), (1, 0, 0), (0, 0, 0), (0, 0, 0)]
     long = enrich.label_rows(rows, "tags", "i").orderBy("i", "label").collect()
     assert [tuple(r) for r in long] == [(1, "improvement"), (1, "infra"), (2, "a")]
+    dotted = spark.createDataFrame([("v1.2",), ("v1_2",), ("x;(y)=",)], "tags string")
+    flags = enrich.add_label_columns(dotted, "tags", "tag_")
+    assert [tuple(r) for r in materialize(flags, "flags").select(*flags.columns).collect()].count((1, 0)) == 2
     options = spark.createDataFrame([("taskcluster-projects/foo/bar,e10s",)], "o string")
     assert enrich.add_label_columns(options, "o", "opt_", options=True).columns == ["opt_e10s", "opt_taskcluster"]
 
