@@ -138,3 +138,27 @@ def test_run_from_files(spark, root, tmp_path, monkeypatch):
     assert report.columns == ["feature", "importance"] and 0 < report.count() <= 20
     assert spark.read.parquet(f"{tmp_path}/scores").count() == 24
     assert spark.read.parquet(f"{tmp_path}/sensitivity").select(F.col("slope")).count() == 1
+
+
+def test_hybrid_run_from_files(spark, root, tmp_path, monkeypatch):
+    words = ["line", "one", "two", "bug", '"two",', "12345"]
+    rng = np.random.default_rng(3)
+    vectors = [(w, [float(v) for v in rng.normal(size=20)]) for w in words]
+    spark.createDataFrame(vectors, "word string, vector array<float>").write.mode("overwrite").parquet(f"{root}/word_vectors.parquet")
+    monkeypatch.setattr(C, "HYBRID_MODEL", {**C.HYBRID_MODEL, "iterations": 2, "min_rows_in_leaf": 2})
+    monkeypatch.setattr(variants, "build_session", lambda: spark)
+    variants.main(["hybrid", root, str(tmp_path)])
+    names = {r["feature"] for r in spark.read.option("header", "true").csv(f"{tmp_path}/fi").collect()}
+    assert {C.HYBRID_SERIES_ROW, C.HYBRID_NOTES_ROW} <= names
+    assert not any(n.startswith(("ts_", "pca_")) for n in names)
+
+
+def test_text_run_from_files(spark, root, tmp_path, monkeypatch):
+    monkeypatch.setattr(variants, "build_session", lambda: spark)
+    variants.main(["text", root, str(tmp_path)])
+    table = spark.read.parquet(f"{tmp_path}/text")
+    assert {r["split"]: r["count"] for r in table.groupBy("split").count().collect()} == {"train": 84, "val": 12, "test": 24}
+    row = table.where("alert_summary_id = 5").first()
+    assert row["notes_sanitized"] == 'line one\nline "two",  BUG_ID' and row["all_text"].endswith(row["notes_sanitized"])
+    assert " | alert_summary_repository=autoland | alert_summary_framework=talos | " in row["fused_text_sanitized"]
+    assert table.where("notes_sanitized = 'NO_NOTES'").count() == 96
