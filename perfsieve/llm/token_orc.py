@@ -14,6 +14,7 @@ tokenizers of another make, are encoded whole.
 from __future__ import annotations
 
 import json
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ from perfsieve.session import work_folder
 
 END_ID = 0
 PIECES = 250_000
-WORDS = 150_000
+WORDS = 400_000
 DOCS_PER_BATCH = 256
 STRIPE_BYTES = 64 << 20
 ROWS_PER_INDEX = 1000
@@ -84,6 +85,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model.tokenize
         form = json.loads(self.tokenizer.to_str())
         before = form.get("pre_tokenizer") or {}
         self.by_piece = (
@@ -112,8 +114,12 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """One pre-token, handed to the model in the alphabet that byte-level models use."""
-        form = word.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(form)], "<u4").tobytes()
+        if word[0] == " " and word.isascii() and word[1:].isalpha():
+            form = self.letters[32] + word[1:]
+        else:
+            form = word.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model(form)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _parts(self, text: str) -> bytes:
         if self.odd(text) or any(m in text for m in self.marks):
