@@ -108,14 +108,11 @@ def paragraphs(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-_TOKENS = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[^\p{L}\p{N}]+", toLowercase=True)
-_PAIRS = NGram(n=2, inputCol="words", outputCol="pairs")
-_TRIPLES = NGram(n=3, inputCol="words", outputCol="triples")
-
-
 def with_grams(rows: DataFrame) -> DataFrame:
     """``rows`` (with a column text) with its words and ``grams``: its runs of two and of three words."""
-    cut = _TRIPLES.transform(_PAIRS.transform(_TOKENS.transform(rows)))
+    cut = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[^\p{L}\p{N}]+", toLowercase=True).transform(rows)
+    for n, name in ((2, "pairs"), (3, "triples")):
+        cut = NGram(n=n, inputCol="words", outputCol=name).transform(cut)
     return cut.withColumn("grams", F.concat("pairs", "triples")).drop("pairs", "triples")
 
 

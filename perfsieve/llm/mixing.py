@@ -187,18 +187,19 @@ def repeat_rows(docs: DataFrame, target: Target, id_col: str = "doc_id", text_co
     the mean of theirs rounded down where the budget ended between them.
     """
     counts = mix(docs, target, id_col, text_col, source_col, keep_text_hash=True)
-    counts = counts.groupBy(F.col(id_col).alias("m_id"), F.col(source_col).alias("m_source"), F.col("text_hash").alias("m_hash")).agg(
-        F.floor(F.avg("copies")).cast("int").alias("m_copies")
+    m_id, m_source, m_hash, m_copies = (fresh(docs, f"_mixed_{c}") for c in ("id", "source", "hash", "copies"))
+    counts = counts.groupBy(F.col(id_col).alias(m_id), F.col(source_col).alias(m_source), F.col("text_hash").alias(m_hash)).agg(
+        F.floor(F.avg("copies")).cast("int").alias(m_copies)
     )
     counts = materialize(counts, "mix-counts")
-    few = counts.where("m_copies <> 1")
     # The usual row is used once and needs no partner; only the others are looked up.
+    few = counts.where(F.col(m_copies) != 1)
     if few.count() <= FEW_ROWS:
         few = F.broadcast(few)
     key = fresh(docs, "_text_hash")
     rows = docs.withColumn(key, F.xxhash64(text_col))
-    same = rows[id_col].eqNullSafe(few["m_id"]) & rows[source_col].eqNullSafe(few["m_source"]) & (rows[key] == few["m_hash"])
-    n = F.coalesce(few["m_copies"], F.lit(1))
+    same = F.col(id_col).eqNullSafe(F.col(m_id)) & F.col(source_col).eqNullSafe(F.col(m_source)) & (F.col(key) == F.col(m_hash))
+    n = F.coalesce(F.col(m_copies), F.lit(1))
     often = rows.join(few, same, "left").where(n > 0).withColumn(fresh(docs, "_times"), F.explode(F.sequence(F.lit(1), n)))
     return often.select(*[F.col(f"`{c}`") for c in docs.columns])
 
