@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perfsieve.constants import SERIES_FILE_SUFFIX
+from perfsieve.session import materialize
 from perfsieve.sources.files import as_null, file_listing
 
 # .../<folder>/<signature>_timeseries_data.csv, the file possibly being a folder Spark wrote.
 _PATH = rf"(?:^|/)(?:folder=)?([^/]+)/(?:file=)?([^/]+){SERIES_FILE_SUFFIX.replace('.', '[.]')}(?:/part-[^/]*)?$"
+MAX_HEADERS = 100
 SERIES_KEYS = ["folder", "signature_id"]
 
 
@@ -26,10 +30,24 @@ def series_files(spark: SparkSession, root: str, pattern: str = f"*{SERIES_FILE_
     return keys.where(F.col("signature_id").isNotNull()).distinct()
 
 
-def scan_series(spark: SparkSession, root: str, pattern: str = f"*{SERIES_FILE_SUFFIX}") -> DataFrame:
-    """All points of all files as text: folder, signature_id, push_id, revision, value, seq."""
+def _headers(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """(path, header) of every file whose first line names a value column."""
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    lines = reader.text(root).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
+    named = lines.where((F.col("at") == 0) & F.col("value").rlike(r'(^|,)\s*"?value"?\s*(,|$)'))
+    # Points hold numbers and hashes; a line that names the value column can only be a header.
+    return named.groupBy("path").agg(F.min("value").alias("header"))
+
+
+def _read_with(spark: SparkSession, root: str, pattern: str, header: str) -> DataFrame:
+    """All files read as if this were the header of each."""
+    names = [n.strip().strip('"') for n in header.split(",")]
+    # A name that repeats, or none at all, cannot be asked for: its column gets a name of its own.
+    unique = [n if n and n not in names[:i] else f"_column_{i}" for i, n in enumerate(names)]
     raw = (
-        spark.read.option("header", "true")
+        spark.read.schema(", ".join(f"`{n.replace('`', '``')}` string" for n in unique))
+        .option("header", "true")
+        .option("enforceSchema", "true")
         .option("mode", "PERMISSIVE")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
@@ -37,12 +55,32 @@ def scan_series(spark: SparkSession, root: str, pattern: str = f"*{SERIES_FILE_S
     )
     path = F.col("_metadata.file_path")
     columns = [
-        (as_null(F.col(c)) if c in raw.columns else F.lit(None).cast("string")).alias(c)
-        for c in ["push_id", "revision", "value"]
+        (as_null(F.col(c)) if c in unique else F.lit(None).cast("string")).alias(c) for c in ["push_id", "revision", "value"]
     ]
-    order = F.col("seq").try_cast("bigint") if "seq" in raw.columns else F.monotonically_increasing_id()
-    points = raw.select(*_keys_from(path), *columns, order.alias("seq"))
-    return points.where(F.col("signature_id").isNotNull())
+    order = F.col("seq").try_cast("bigint") if "seq" in unique else F.monotonically_increasing_id()
+    return raw.select(path.alias("path"), *_keys_from(path), *columns, order.alias("seq"))
+
+
+def scan_series(spark: SparkSession, root: str, pattern: str = f"*{SERIES_FILE_SUFFIX}") -> DataFrame:
+    """All points of all files as text: folder, signature_id, push_id, revision, value, seq.
+
+    Columns are found by the header of each file, in whatever order it names them. Files are read once per
+    distinct header (usually one); with several, each read keeps the files of its header.
+    """
+    headers = _headers(spark, root, pattern)
+    distinct = [r["header"] for r in headers.select("header").distinct().limit(MAX_HEADERS + 1).collect()]
+    if len(distinct) > MAX_HEADERS:
+        raise ValueError(f"over {MAX_HEADERS} different headers below {root}: not one kind of series file")
+    if len(distinct) <= 1:
+        points = _read_with(spark, root, pattern, distinct[0] if distinct else "push_id,revision,value")
+    else:
+        headers = materialize(headers, "series-headers")
+        parts = [
+            _read_with(spark, root, pattern, h).join(headers.where(F.col("header") == h).select("path"), "path", "left_semi")
+            for h in sorted(distinct)
+        ]
+        points = functools.reduce(DataFrame.unionByName, parts)
+    return points.drop("path").where(F.col("signature_id").isNotNull())
 
 
 def clean_points(points: DataFrame, need_push: bool = False) -> DataFrame:

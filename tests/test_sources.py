@@ -162,3 +162,13 @@ def test_text_run_from_files(spark, root, tmp_path, monkeypatch):
     assert row["notes_sanitized"] == 'line one\nline "two",  BUG_ID' and row["all_text"].endswith(row["notes_sanitized"])
     assert " | alert_summary_repository=autoland | alert_summary_framework=talos | " in row["fused_text_sanitized"]
     assert table.where("notes_sanitized = 'NO_NOTES'").count() == 96
+
+
+def test_series_columns_are_found_by_each_file_s_header(spark, tmp_path):
+    folder = tmp_path / "data" / "autoland1"
+    folder.mkdir(parents=True)
+    texts = {1: "push_id,revision,value\n7,ab,1.5\n", 2: "value,push_id,revision\n2.5,8,cd\n", 3: "x,push_id,value\nq,9,3.5\n", 4: "push_id,revision\n1,ef\n"}
+    for i, text in texts.items():
+        (folder / f"{i}_timeseries_data.csv").write_text(text)
+    points = series.clean_points(series.scan_series(spark, str(tmp_path / "data")))
+    assert sorted((r["signature_id"], r["push_id"], r["revision"], r["value"]) for r in points.collect()) == [(1, 7.0, "ab", 1.5), (2, 8.0, "cd", 2.5), (3, 9.0, None, 3.5)]
