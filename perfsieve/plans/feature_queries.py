@@ -155,8 +155,7 @@ _SHARES = "[" + ", ".join(str(i / 10) for i in range(11)) + "]"
 
 def _edges(c: str, table: str = "lineitem") -> str:
     return (
-        f"(SELECT list_sort(list_distinct(list_transform(quantile_cont(CAST({c} AS DOUBLE), {_SHARES}), "
-        f"lambda e: round(e, 9)))) FROM {table})"
+        f"(SELECT list_sort(list_distinct(quantile_cont(CAST({c} AS DOUBLE), {_SHARES}))) FROM {table})"
     )
 
 
