@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import atexit
+import shutil
 import uuid
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,15 +36,33 @@ def setting(spark: SparkSession, name: str, default: int) -> int:
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a folder of this machine; on a cluster the executors
-    would not see it.
+    All folders of a run lie in one, which ``remove_work`` deletes. Without the setting only a local
+    session runs: it works below its warehouse folder and tidies up when the process ends.
     """
+    return f"{_run_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+_TIDIED: set[str] = set()
+
+
+def _run_folder(spark: SparkSession) -> str:
+    name = f"perfsieve-{spark.sparkContext.applicationId}"
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = os.path.join(tempfile.gettempdir(), "perfsieve")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    if base:
+        return f"{base.rstrip('/')}/{name}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work/{name}"
+    if folder not in _TIDIED:
+        _TIDIED.add(folder)
+        atexit.register(shutil.rmtree, unquote(urlparse(folder).path), ignore_errors=True)
+    return folder
+
+
+def remove_work(spark: SparkSession) -> None:
+    """Delete what this run has written to the shared folder; frames that read from it are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
