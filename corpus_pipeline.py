@@ -16,6 +16,9 @@ from perfsieve.session import materialize
 # No source is read more than 1.25 times as often as another, and every document at least once.
 MIX_TARGET = mixing.Target(max_repeats=1.25, budget_share=None)
 
+# Python workers go from stage to stage, so this one must leave them room.
+TOKEN_MEMO = 50_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
@@ -36,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_orc.tokenised(docs)
+    return token_orc.tokenised(docs, memo=TOKEN_MEMO)
 
 
 STAGES = [

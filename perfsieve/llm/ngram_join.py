@@ -40,9 +40,10 @@ MAX_HASHES = 128
 # A task compares at most two blocks of about this many sets and n-grams.
 BLOCK_SETS = 1024
 BLOCK_GRAMS = 1 << 20
-WORD_MEMO = 400_000
+WORD_MEMO = 100_000
 GRAMS_AT_ONCE = 1024
 DENSE_SHARE = 0.1
+PAIR_ROWS = 128
 FEW_IDS = 1_000_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -168,13 +169,24 @@ def _grams(ngram: int):
     return grams
 
 
-def _owned(bands: np.ndarray, sizes: np.ndarray, band: int, similarity: float) -> np.ndarray:
-    """Of the pairs in one bucket of ``band``: those that share no earlier band and whose sizes allow the similarity."""
-    mine = np.minimum(sizes[:, None], sizes[None, :]) >= similarity * np.maximum(sizes[:, None], sizes[None, :])
-    for earlier in range(band):
-        column = bands[:, earlier]
-        mine &= column[:, None] != column[None, :]
-    return mine
+def _owned(bands: np.ndarray, sizes: np.ndarray, band: int, similarity: float, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (one, two) of a bucket of ``band`` that share no earlier band and whose sizes allow the similarity.
+
+    Rows of side 0 pair with rows of side 1; rows of side 2 each with those after them. Rows of the
+    pair matrix are taken a few at a time.
+    """
+    ones, twos = [], []
+    for start in range(0, len(sizes), PAIR_ROWS):
+        own = slice(start, start + PAIR_ROWS)
+        mine = np.minimum(sizes[own, None], sizes) >= similarity * np.maximum(sizes[own, None], sizes)
+        after = np.arange(len(sizes)) > np.arange(len(sizes))[own, None]
+        mine &= (side[own, None] < side) | ((side[own, None] == 2) & (side == 2) & after)
+        for earlier in range(band):
+            mine &= bands[own, earlier, None] != bands[:, earlier]
+        one, two = np.nonzero(mine)
+        ones.append((one + start).astype(np.int32))
+        twos.append(two.astype(np.int32))
+    return np.concatenate(ones), np.concatenate(twos)
 
 
 MEMBER = "bucket long, band int, digest string, copies long, n long, bands array<long>"
@@ -188,9 +200,8 @@ def _owners(n_bands: int, similarity: float):
         for group in runs(batches, "bucket"):
             band = group.column("band")[0].as_py()
             bands = list_matrix(one_chunk(group.column("bands")), n_bands)
-            mine = _owned(bands, group.column("n").to_numpy(), band, similarity)
-            np.fill_diagonal(mine, False)
-            owning = np.flatnonzero(mine.any(axis=1))
+            sizes = group.column("n").to_numpy()
+            owning = np.unique(np.concatenate(_owned(bands, sizes, band, similarity, np.full(len(sizes), 2))))
             if owning.size:
                 yield from group.take(pa.array(owning)).to_batches()
 
@@ -262,10 +273,7 @@ def _verify(n_bands: int, similarity: float):
             sizes = group.column("n").to_numpy()
             copies = group.column("copies").to_numpy()
             side = group.column("side").to_numpy()
-            mine = _owned(bands, sizes, group.column("band")[0].as_py(), similarity)
-            # Two blocks: pairs across them. One block (side 2): each of its pairs.
-            cross = (side[:, None] < side[None, :]) | ((side[:, None] == 2) & (side[None, :] == 2) & np.tri(len(side), k=-1, dtype=bool).T)
-            one, two = np.nonzero(mine & cross)
+            one, two = _owned(bands, sizes, group.column("band")[0].as_py(), similarity, side)
             if not one.size:
                 continue
             sets = list_slices(one_chunk(group.column("grams")))

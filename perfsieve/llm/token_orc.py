@@ -29,8 +29,8 @@ from perfsieve.llm.common import table
 from perfsieve.session import work_folder
 
 END_ID = 0
-PIECES = 250_000
-WORDS = 400_000
+# Pieces and words a task remembers, per generation; about 220 bytes each.
+MEMO = 250_000
 DOCS_PER_BATCH = 256
 STRIPE_BYTES = 64 << 20
 ROWS_PER_INDEX = 1000
@@ -80,7 +80,7 @@ class _Memo(dict):
 class Encoder:
     """Texts to little-endian 32-bit ids, equal to encoding each whole text with the tokenizer."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
         import regex
         from tokenizers import Tokenizer
 
@@ -106,8 +106,8 @@ class Encoder:
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         spare = iter(range(256, 512))
         self.letters = {b: chr(b) if b in plain else chr(next(spare)) for b in range(256)}
-        self.words = _Memo(WORDS, self._word)
-        self.pieces = _Memo(PIECES, self._piece)
+        self.words = _Memo(memo * 4 // 5, self._word)
+        self.pieces = _Memo(memo, self._piece)
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -135,6 +135,11 @@ class Encoder:
             return self.words[" " + piece[:-1]] + self.words[piece[-1]]
         return self._parts(" " + piece)
 
+    def rest(self) -> None:
+        """Between tasks a worker keeps the newer words only, so that other operators find memory."""
+        self.pieces.clear()
+        self.pieces.older, self.words.older = {}, {}
+
     def encode(self, text: str) -> bytes:
         if not self.by_piece:
             return self._plain(text)
@@ -147,21 +152,22 @@ class Encoder:
             return self._parts(text)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per tokenizer and Python worker; its memory lives as long as the worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, memo: int = MEMO) -> Encoder:
+    """One encoder per tokenizer and Python worker."""
+    if (path, memo) not in _ENCODERS:
+        _ENCODERS[path, memo] = Encoder(path, memo)
+    return _ENCODERS[path, memo]
 
 
-def _encode(path: str, end_id: int):
+def _encode(path: str, end_id: int, memo: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, start, encoded = TaskContext.get().partitionId(), 0, encoder(path).encode
+        part, start, coder = TaskContext.get().partitionId(), 0, encoder(path, memo)
+        encoded = coder.encode
         for batch in batches:
             for at in range(0, batch.num_rows, DOCS_PER_BATCH):
                 some = batch.slice(at, DOCS_PER_BATCH)
@@ -176,12 +182,19 @@ def _encode(path: str, end_id: int):
                 columns = [some.column(0), parts, pa.array(start + ends - counts), pa.array(counts), lists]
                 yield pa.RecordBatch.from_arrays(columns, schema=_ARROW)
                 start += int(ends[-1])
+        coder.rest()
 
     return encode
 
 
 def write_tokens(
-    docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    path: str,
+    tokenizer: str,
+    end_id: int = END_ID,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    memo: int = MEMO,
 ) -> None:
     """Write the ids of every document below ``path``, in ascending id order (null ids first).
 
@@ -194,7 +207,7 @@ def write_tokens(
     keys = ["doc_id", F.xxhash64("text")]
     dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
     (
-        dealt.mapInArrow(_encode(tokenizer, end_id), SCHEMA)
+        dealt.mapInArrow(_encode(tokenizer, end_id, memo), SCHEMA)
         .write.option("compression", "zstd")
         .option("orc.stripe.size", str(STRIPE_BYTES))
         .option("orc.row.index.stride", str(ROWS_PER_INDEX))
@@ -242,14 +255,14 @@ def token_facts(spark: SparkSession, path: str) -> DataFrame:
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids").mapInArrow(_facts, FACTS)
 
 
-def tokenised(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer: str | None = None, memo: int = MEMO) -> DataFrame:
     """Write ``docs`` to a fresh folder in the shared place and give the facts read back from it."""
     if tokenizer is None:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     path = work_folder(docs.sparkSession, "token-orc")
-    write_tokens(docs, path, str(tokenizer))
+    write_tokens(docs, path, str(tokenizer), memo=memo)
     return token_facts(docs.sparkSession, path)
 
 
