@@ -29,6 +29,8 @@ from perfsieve.llm.fm_index import FmIndex
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
 SHARD_SYMBOLS = 1 << 21
+# Documents searched and cut at a time, of those in an Arrow batch.
+CLEAN_ROWS = 2000
 
 FOUND = T.StructType(
     [
@@ -234,9 +236,18 @@ def _clean(texts: list[str | None], spans: list[list[int]], blocks: list[Phrases
 
 
 def _cleaner(shared):
-    def clean(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, found in batches:
-            yield pa.array(_clean(texts.to_pylist(), found.field("spans").to_pylist(), shared.value), pa.string())
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = []
+            for at in range(0, len(texts), CLEAN_ROWS):
+                some = texts.slice(at, CLEAN_ROWS)
+                raw = as_bytes(some)
+                spans: list[list[int]] = [[] for _ in raw]
+                for block in shared.value:
+                    spans = [_merge(one, hit[1]) for one, hit in zip(spans, find(raw, block), strict=True)]
+                del raw
+                parts.append(pa.array(_clean(some.to_pylist(), spans, shared.value), pa.string()))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return clean
 
@@ -255,12 +266,11 @@ def remove_passages(
     A row whose text holds none is unchanged, a null text stays null; no row is dropped. Text that
     comes together through a cut is searched again, so the result holds no window.
     """
-    hits = fresh(docs, "_hits")
     blocks = list(_blocks(benchmark, item_col, item_text_col, window, block_bytes))
     shared = docs.sparkSession.sparkContext.broadcast(blocks)
+    # One function searches and cuts: two would hold two Python workers a task.
     cleaned = F.arrow_udf(_cleaner(shared), "string", F.ArrowUDFType.SCALAR_ITER).asNondeterministic()
-    marked = with_hits(docs, benchmark, text_col, item_col, item_text_col, window, block_bytes, hits)
-    return marked.withColumn(text_col, cleaned(F.col(text_col), F.col(hits))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.withColumn(text_col, cleaned(F.col(text_col)))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
