@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +85,24 @@ def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(pending).combine_chunks()
 
 
+def give_back() -> None:
+    """Hand memory that Python and Arrow have freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` over batches. A Python worker outlives its task, so the task gives its memory back."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 def one_chunk(column: pa.ChunkedArray) -> pa.Array:
     combined = column.combine_chunks()
     return combined.chunk(0) if isinstance(combined, pa.ChunkedArray) else combined

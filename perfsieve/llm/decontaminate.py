@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from perfsieve.llm.common import as_bytes, fresh, table, words
+from perfsieve.llm.common import as_bytes, fresh, table, tidy, words
 from perfsieve.llm.fm_index import FmIndex
 
 WINDOW = 10
@@ -195,7 +195,7 @@ def _searcher(shared):
             found = find(as_bytes(batch), shared.value)
             yield pa.array([{"n_words": n, "spans": s, "items": i} for n, s, i in found], _ARROW)
 
-    return search
+    return tidy(search)
 
 
 def _join_hits(one: pa.Array, other: pa.Array) -> pa.Array:
@@ -249,7 +249,7 @@ def _cleaner(shared):
                 parts.append(pa.array(_clean(some.to_pylist(), spans, shared.value), pa.string()))
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
-    return clean
+    return tidy(clean)
 
 
 def remove_passages(

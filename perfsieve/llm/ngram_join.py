@@ -29,6 +29,7 @@ from perfsieve.llm.common import (
     one_chunk,
     runs,
     table,
+    tidy,
     words,
 )
 from perfsieve.session import materialize
@@ -81,6 +82,11 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def forget_words() -> None:
+    """Empty the word memory of this Python worker."""
+    _WORDS.clear()
+
+
 def gram_set(text: bytes | None, n: int = NGRAM) -> np.ndarray:
     """The sorted distinct n-grams of a text as 64-bit numbers; a shorter text is one n-gram of all its words."""
     found = words(text)
@@ -149,8 +155,9 @@ def _sign(bands: int, rows: int, ngram: int):
                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
             ]
             yield pa.RecordBatch.from_arrays(columns, schema=_SIGNED)
+        forget_words()
 
-    return sign
+    return tidy(sign)
 
 
 def _grams(ngram: int):
@@ -165,8 +172,9 @@ def _grams(ngram: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(map(_digest, sets), pa.string()), pa.ListArray.from_arrays(pa.array(ends), flat)], schema=schema
                 )
+        forget_words()
 
-    return grams
+    return tidy(grams)
 
 
 def _owned(bands: np.ndarray, sizes: np.ndarray, band: int, similarity: float, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +213,7 @@ def _owners(n_bands: int, similarity: float):
             if owning.size:
                 yield from group.take(pa.array(owning)).to_batches()
 
-    return owners
+    return tidy(owners)
 
 
 def _incidence(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
@@ -286,7 +294,7 @@ def _verify(n_bands: int, similarity: float):
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _FOUND, strict=True)], schema=_FOUND)
 
-    return verify
+    return tidy(verify)
 
 
 def components(edges: DataFrame) -> DataFrame:

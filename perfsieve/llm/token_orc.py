@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from perfsieve.llm.common import table
+from perfsieve.llm.common import give_back, table, tidy
 from perfsieve.session import work_folder
 
 END_ID = 0
@@ -182,9 +182,10 @@ def _encode(path: str, end_id: int, memo: int):
                 columns = [some.column(0), parts, pa.array(start + ends - counts), pa.array(counts), lists]
                 yield pa.RecordBatch.from_arrays(columns, schema=_ARROW)
                 start += int(ends[-1])
+            give_back()
         coder.rest()
 
-    return encode
+    return tidy(encode)
 
 
 def write_tokens(
@@ -252,7 +253,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def token_facts(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 (of the ids as little-endian 32-bit numbers) per document."""
-    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids").mapInArrow(_facts, FACTS)
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids").mapInArrow(tidy(_facts), FACTS)
 
 
 def tokenised(docs: DataFrame, tokenizer: str | None = None, memo: int = MEMO) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from perfsieve.llm.common import as_bytes, fresh, table, words
+from perfsieve.llm.common import as_bytes, fresh, table, tidy, words
 from perfsieve.session import materialize
 
 # Bounds of the fit: labelled documents, features, distinct words of a document that become features.
@@ -136,7 +136,7 @@ def _count_rows(vocabulary: list[bytes]):
                 schema=schema,
             )
 
-    return rows
+    return tidy(rows)
 
 
 def fit(
@@ -166,7 +166,7 @@ def fit(
     clean, toxic = halves.get(0, 0), halves.get(1, 0)
     if not clean or not toxic:
         return OrdinalModel({}, (500.0, 501.0))
-    by_word = known.select("text", "toxic").mapInArrow(_word_rows, "word binary, toxic int")
+    by_word = known.select("text", "toxic").mapInArrow(tidy(_word_rows), "word binary, toxic int")
     by_word = by_word.groupBy("word").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
     share = (F.col("a") + F.col("b")) / (clean + toxic)
     z = (F.col("a") / toxic - F.col("b") / clean) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1.0 / toxic + 1.0 / clean))
@@ -201,7 +201,7 @@ def _scorer(shared):
             found = [shared.value.severity(t) for t in as_bytes(texts)]
             yield pa.array([{"severity": s, "any": p} for s, p in found], _ARROW)
 
-    return score
+    return tidy(score)
 
 
 def with_severity(docs: DataFrame, model: OrdinalModel, text_col: str = "text", out: str = "scored") -> DataFrame:
