@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-from rows import PROSE, no_docs, odd_docs, odd_texts, plain_words  # noqa: E402
+from rows import PROSE, SF, no_docs, odd_docs, odd_texts, plain_words  # noqa: E402
 
 from perfsieve.llm import decontaminate, fm_index, licenses, pseudonyms, toxicity  # noqa: E402
 
@@ -46,6 +46,34 @@ def test_held_out_toxic_documents_are_found(spark):
     assert hit > 0.5 and false < 0.1 and all(0 <= r["severity"] <= 2 for r in rows)
 
 
+def test_toxic_documents_are_found_in_every_language(spark):
+    docs = spark.read.parquet(f"{BIG}/documents.parquet")
+    labels = spark.read.parquet(f"{BIG}/labels.parquet")
+    model = toxicity.fit(docs, labels.where("doc_id % 2 = 0"))
+    held = toxicity.with_severity(docs.where("doc_id % 2 = 1"), model).join(labels, "doc_id")
+    said = (F.col("scored.any") >= 0.5).cast("int")
+    rows = held.groupBy("lang", "toxic").agg(F.avg(said).alias("said")).collect()
+    share = {(r["lang"], r["toxic"]): r["said"] for r in rows}
+    assert all(share[lang, 1] > 0.7 and share[lang, 0] < 0.05 for lang in ("en", "de", "fr", "es")), share
+
+
+def test_toxic_documents_of_a_small_table_are_found(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    graded = toxicity.grades(docs, labels).withColumnRenamed("toxic", "said").join(labels, "doc_id").select("toxic", "said").collect()
+    assert sum(r["said"] for r in graded if r["toxic"]) >= 5 and not any(r["said"] for r in graded if not r["toxic"])
+    # Labels that tell nothing choose no features.
+    odd = docs.select("doc_id", (F.xxhash64("doc_id") % 8 == 0).cast("int").alias("toxic"))
+    assert toxicity.grades(docs, odd).where("toxic").count() == 0
+
+
+def test_the_sample_holds_rare_labels_and_keeps_their_share(spark):
+    texts = [(i, f"{'awful' if i % 50 == 0 else 'kind'}{i % 7} word") for i in range(2000)]
+    labels = spark.createDataFrame([(i, int(i % 50 == 0)) for i, _ in texts], "doc_id long, toxic int")
+    graded = toxicity.grades(odd_docs(spark, texts), labels, sample=80)
+    assert graded.where("toxic").count() == 40 and graded.where("toxic AND doc_id % 50 != 0").count() == 0
+
+
 def test_toxicity_takes_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (8, None), (9, 0), (9, 1)], "doc_id long, toxic int")
     docs = odd_docs(spark)
