@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal numbers and dates.
 
 A value is recognised by its format and must pass its own check (Luhn, mod 97, a calendar, number
-ranges). It is then permuted by a keyed Feistel network over the set of valid values of its kind,
+ranges); where the text goes on like the value, shorter ends are tried until the check passes. It is then permuted by a keyed Feistel network over the set of valid values of its kind,
 so the result has the same format and passes the same check, equal values get equal pseudonyms in
 every document, and whoever holds the key can undo it. Values that fail their check stay.
 """
@@ -228,6 +228,58 @@ def _word_date(f: Feistel, text: str, back: bool) -> str | None:
     return f"{new.day} {month} {new.year}" if text[0].isdigit() else f"{month} {new.day}, {new.year}"
 
 
+# Characters of an IBAN by country (the registry's).
+IBAN_LENGTHS = dict(
+    AD=24, AE=23, AL=28, AT=20, AZ=28, BA=20, BE=16, BG=22, BH=22, BI=27, BR=29, BY=28, CH=21, CR=22, CY=28, CZ=24, DE=22, DJ=27,
+    DK=18, DO=28, EE=20, EG=29, ES=24, FI=18, FK=18, FO=18, FR=27, GB=22, GE=22, GI=23, GL=18, GR=27, GT=28, HN=28, HR=21, HU=28,
+    IE=22, IL=23, IQ=23, IS=26, IT=27, JO=30, KW=30, KZ=20, LB=28, LC=32, LI=21, LT=20, LU=20, LV=21, LY=25, MC=27, MD=24, ME=22,
+    MK=19, MN=20, MR=27, MT=31, MU=30, NI=28, NL=18, NO=15, OM=23, PK=24, PL=28, PS=29, PT=25, QA=29, RO=24, RS=22, RU=33, SA=24,
+    SC=31, SD=18, SE=24, SI=19, SK=24, SM=27, SO=23, ST=25, SV=28, TL=23, TN=24, TR=26, UA=29, VA=22, VG=24, XK=20, YE=30,
+)
+
+
+def _iban_ends(text: str, start: int, end: int) -> Iterator[int]:
+    """The end by the country's length, then that of the whole match."""
+    left, at = IBAN_LENGTHS.get(text[start : start + 2], 0), start
+    while left and at < end:
+        left -= text[at] != " "
+        at += 1
+    if at > start and not left and not text[at : at + 1].isalnum():
+        yield at
+    yield end
+
+
+_GAP = re.compile(r"[ .-](?=[0-9])")
+# What a phone number stops before: the shapes of dates, also with pseudonyms in them.
+_DATE_NEXT = re.compile(
+    r" (?:[0-9]{4}([-/])[0-9]{2}\1[0-9]{2}|[0-9]{1,2}([./])[0-9]{1,2}\2[0-9]{4}"
+    rf"|[0-9]{{1,2}} (?i:{'|'.join(MONTHS)}) [0-9]{{4}})(?![0-9])"
+)
+
+
+def _phone_ends(text: str, start: int, end: int) -> Iterator[int]:
+    """The end before a date or a number of its own, then ever earlier gaps. Only shapes count, which pseudonyms keep.
+
+    From ten digits on, a space after a group of six or more digits or after a group that another mark
+    joins on ends the number. Groups of a few digits with nothing but spaces cannot be told apart.
+    """
+    gaps = [m.start() for m in _GAP.finditer(text, start, end)] if text[start] == "+" else []
+    for n, gap in enumerate(gaps):
+        if text[gap] != " ":
+            continue
+        digits = len(_digits(text[start:gap]))
+        apart = n > 0 and (text[gaps[n - 1]] != " " or gap - gaps[n - 1] > 6)
+        if (digits >= 10 and apart) or (digits >= 8 and _DATE_NEXT.match(text, gap)):
+            yield gap
+            yield from reversed(gaps[:n])
+            return
+    yield end
+    yield from reversed(gaps)
+
+
+# Where a match may end, in the order to try; that of other kinds is fixed by their patterns.
+_ENDS: dict[str, Callable[[str, int, int], Iterator[int]]] = {"iban": _iban_ends, "phone": _phone_ends}
+
 _NAMES = "|".join(MONTHS)
 # Kind, pattern, transformation; the first kind whose pattern fits and whose check passes wins a place.
 KINDS: list[tuple[str, str, Callable]] = [
@@ -268,6 +320,15 @@ class Pseudonymiser:
             self.memo[kind, value] = KINDS[kind][2](self.feistel, value, False)
         return self.memo[kind, value]
 
+    def _first(self, kind: int, text: str, start: int, end: int, back: bool) -> tuple[str | None, int, int]:
+        """(new value, start, end) of the first of a match's ends that passes the check."""
+        ends = _ENDS.get(KINDS[kind][0])
+        for stop in ends(text, start, end) if ends else (end,):
+            new = self._new(kind, text[start:stop], back)
+            if new is not None:
+                return new, start, stop
+        return None, start, end
+
     def replace(self, text: str, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
         """(new text, (kind, start, end) of each value in ``text``)."""
         if not _LIKELY.search(text):
@@ -277,11 +338,11 @@ class Pseudonymiser:
             at = match.start() + 1
             for kind in range(int(match.lastgroup[1:]), len(KINDS)):
                 fit = _EACH[kind].match(text, match.start())
-                new = self._new(kind, fit.group(), back) if fit else None
+                new, start, end = self._first(kind, text, fit.start(), fit.end(), back) if fit else (None, 0, 0)
                 if new is not None:
-                    out += [text[last : fit.start()], new]
-                    found.append((KINDS[kind][0], fit.start(), fit.end()))
-                    last = at = fit.end()
+                    out += [text[last:start], new]
+                    found.append((KINDS[kind][0], start, end))
+                    last = at = end
                     break
         return "".join([*out, text[last:]]), found
 

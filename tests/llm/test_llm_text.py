@@ -180,6 +180,24 @@ def test_pseudonyms_keep_format_and_come_back(value):
     assert pseudonyms.Pseudonymiser("other").replace(text)[0] != new
 
 
+@pytest.mark.parametrize("after", ["Please", "P", "BIC COBADEFF", "12 March 2021", "2024-01-05", "05.01.2024", "12/31/2021", "12 apples", "A12"])
+@pytest.mark.parametrize("value", [*GOOD, "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "+1 555-555-7713", "+49 30 1234567"])
+def test_values_end_where_the_next_text_begins(value, after):
+    text = f"So {value} {after}"
+    new, found = NAMES.replace(text)
+    assert text[found[0][1] : found[0][2]] == value and value not in new
+    # One value has one pseudonym, whatever follows it.
+    assert new.startswith(NAMES.replace(f"So {value}")[0] + " ")
+    assert NAMES.replace(new, back=True)[0] == text
+
+
+def test_a_phone_of_many_groups_stops_before_a_date_or_card():
+    for after in ("2024-01-05", "05.01.2024", "12 March 2021", "4111 1111 1111 1111"):
+        text = f"+49 30 1234 5678 {after}"
+        new, found = NAMES.replace(text)
+        assert found[0] == ("phone", 0, 16) and len(found) == 2 and NAMES.replace(new, back=True)[0] == text
+
+
 def test_what_fails_its_check_stays():
     text = "4041894974608796 300.1.1.1 000-12-3456 2021-02-29 31.04.2020 GB82 WEST 1234 5698 7654 33 v2.0. 13/13/2020 1234567890123456789012 a@b"
     assert NAMES.replace(text) == (text, [])
