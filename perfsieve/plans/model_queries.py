@@ -136,11 +136,6 @@ def score_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- models --------------------------------------------------------------------------------
-def _short(settings: dict) -> dict:
-    """The tuned settings with few, larger steps, so that a query ends soon."""
-    return {**settings, "iterations": 4, "learning_rate": 0.3}
-
-
 def _metric_rows(tables: dict[str, DataFrame]) -> DataFrame:
     return comparable(tables["metrics"])
 
@@ -148,14 +143,14 @@ def _metric_rows(tables: dict[str, DataFrame]) -> DataFrame:
 @query("train_gbt_static")
 def train_gbt_static(spark: SparkSession, sf_dir: str) -> DataFrame:
     alerts, bugs = P.alerts(spark, sf_dir), P.bugs(spark, sf_dir)
-    return _metric_rows(variants.run_variant(spark, alerts, bugs, _short(C.STATIC_MODEL), blind=True))
+    return _metric_rows(variants.run_variant(spark, alerts, bugs, C.STATIC_MODEL, blind=True))
 
 
 @query("train_gbt_ts")
 def train_gbt_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     alerts, bugs, points = P.alerts(spark, sf_dir), P.bugs(spark, sf_dir), clean(spark, sf_dir)
     listed = files(P.series(spark, sf_dir))
-    return _metric_rows(variants.run_variant(spark, alerts, bugs, _short(C.SERIES_MODEL), points=points, files=listed))
+    return _metric_rows(variants.run_variant(spark, alerts, bugs, C.SERIES_MODEL, points=points, files=listed))
 
 
 @query("train_gbt_hybrid")
@@ -167,7 +162,7 @@ def train_gbt_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark,
         alerts,
         bugs,
-        _short(C.HYBRID_MODEL),
+        C.HYBRID_MODEL,
         points=points,
         files=files(P.series(spark, sf_dir)),
         vectors=vectors,
@@ -182,7 +177,7 @@ def cv_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     weighted = enrich.add_sample_weight(condensed, P.bugs(spark, sf_dir)).withColumn(C.LABEL, splits.label_as_int())
     table = splits.stratified_folds(weighted, C.LABEL, C.SUMMARY_ID)
     names = ["single_alert_amount_abs__mean", "single_alert_new_value__max", "n_single_alerts", "single_alert_noise_profile__mode"]
-    settings = {**_short(C.STATIC_MODEL), "iterations": 2}
+    settings = {**C.STATIC_MODEL, "learning_rate": 0.3, "iterations": 2}
     _, tried = model.search(table, names, settings, {"maxDepth": [2, 3]})
     rows = [(int(m["maxDepth"]), float(s)) for m, s in tried]
     return comparable(spark.createDataFrame(rows, "depth int, mean_average_precision double"))
