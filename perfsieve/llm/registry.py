@@ -20,6 +20,7 @@ MODULES = [
     "pseudonyms",
     "ngram_join",
     "mixing",
+    "whitening",
 ]
 
 
