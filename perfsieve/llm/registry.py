@@ -21,6 +21,7 @@ MODULES = [
     "ngram_join",
     "mixing",
     "whitening",
+    "language_id",
 ]
 
 
