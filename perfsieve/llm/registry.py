@@ -22,6 +22,7 @@ MODULES = [
     "mixing",
     "whitening",
     "language_id",
+    "collocations",
 ]
 
 
