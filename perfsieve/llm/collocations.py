@@ -1,11 +1,13 @@
 """Collocations: phrases whose words stand together more often than their parts suggest, by language.
 
 Texts are lower-cased (A-Z), cut into pieces at marks and line ends and into words at spaces and tabs.
-Every task counts the runs of 1 to ``longest`` words of its texts in a trie of word ids over burstable
-hash containers (``hat_trie``), which spills whole subtrees as sorted runs. Spark deals the runs by
-prefix (language, first two words, and a sixteenth of what follows, so that no prefix fills a task) and
-merges equal phrases there. Only phrases with ``least`` occurrences are written on: a candidate's
-parts occur at least as often as it does.
+Every task counts the runs of words of its texts in a trie of word ids over burstable hash containers
+(``hat_trie``), which spills whole subtrees as sorted runs. Spark deals the runs by prefix (language,
+first two words, and a sixteenth of what follows, so that no prefix fills a task) and merges equal
+phrases there. Runs are counted by length, 1 to ``longest`` words, a pass each: only phrases with
+``least`` occurrences are written on, and a longer run is counted only if both its parts may be
+such phrases, since it cannot occur more often than they do. Tasks ask a bit array over hashes of the
+phrases (at most 2^``MOST_BITS`` bits); its chance hits cost time, never a result.
 
 A candidate's score is that of its weakest cut, floor(1,000,000 a a / (l r)); products have 37 digits,
 counts 14 (a larger count raises an error). Candidates inside a longer candidate with at least half of
@@ -20,8 +22,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +41,9 @@ LEAST = 10
 MOST = 2000
 SLICE = 1 << 20
 PREFIXES = 1 << 16
+# Bits a frequent phrase, and at most: 64 MB.
+BITS_EACH = 32
+MOST_BITS = 29
 SPREAD = 16
 # A-Z become a-z, tabs spaces, marks and line ends the boundary.
 _CLEAN = bytes(
@@ -54,26 +63,27 @@ def token_slices(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def phrase_counts(docs: DataFrame, longest: int = LONGEST, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, phrase, words, n): all phrases of 1 to ``longest`` words; the empty phrase has the number of words."""
+def phrase_counts(docs: DataFrame, size: int, known: Broadcast | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang, phrase, n): phrases of ``size`` words, all whose parts ``known`` holds; the empty phrase has the number of words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counting = hat_trie.Counting(longest)
+        counting = hat_trie.Counting(size, known.value if known else None)
         held: dict[str, list[bytes]] = {}
         n_held = 0
         for batch in batches:
             for name, body in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 tokens = held.setdefault(name, [])
                 context, before = 0, len(tokens)
+                cut = False
                 for part in token_slices(body or b""):
                     tokens.extend(part)
                     if len(tokens) > hat_trie.CHUNK:
                         yield from counting.feed(name, tokens, context)
-                        context = min(len(tokens), longest - 1)
+                        cut, context = True, min(len(tokens), size - 1)
                         n_held -= before
                         before = 0
                         tokens[:] = tokens[len(tokens) - context :]
-                if context:
+                if cut:
                     yield from counting.feed(name, tokens, context)
                     tokens.clear()
                 tokens.append(hat_trie.BOUNDARY)
@@ -87,11 +97,49 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, text: str = "text", l
         yield from counting.finish()
 
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")), text)
-    runs = rows.mapInArrow(tidy(work), "lang string, phrase string, words int, n bigint")
+    runs = rows.mapInArrow(tidy(work), "lang string, phrase string, n bigint")
     rest = F.pmod(F.xxhash64("phrase"), F.lit(SPREAD))
     prefix = F.pmod(F.xxhash64("lang", F.substring_index("phrase", " ", 2), rest), F.lit(PREFIXES)).cast("int")
     dealt = runs.withColumn("prefix", prefix).repartition("prefix")
-    return dealt.groupBy("prefix", "lang", "phrase", "words").agg(F.sum("n").alias("n")).drop("prefix")
+    return dealt.groupBy("prefix", "lang", "phrase").agg(F.sum("n").alias("n")).drop("prefix")
+
+
+def known_phrases(phrases: DataFrame) -> hat_trie.Known:
+    """A bit array that holds all of ``phrases`` (lang, phrase), whose phrases have equally many words."""
+    n = phrases.count()
+    bits = min(MOST_BITS, max(6, (n * BITS_EACH - 1).bit_length()))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = np.array(batch.column(0).to_pylist(), object)
+            split = [phrase.split(b" ") for phrase in as_bytes(batch.column(1))]
+            for name in dict.fromkeys(names):
+                mine = [split[i] for i in np.flatnonzero(names == name)]
+                words = np.array([[xxhash.xxh3_64_intdigest(w) for w in phrase] for phrase in mine], np.uint64)
+                slot = hat_trie.run_hashes(name, list(words.T)) >> np.uint64(64 - bits)
+                place = (slot >> np.uint64(6)).astype(np.int64)
+                value = (np.uint64(1) << (slot & np.uint64(63))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(value)], names=["place", "value"])
+
+    set_bits = phrases.select("lang", "phrase").mapInArrow(tidy(work), "place bigint, value bigint")
+    found = set_bits.groupBy("place").agg(F.bit_or("value").alias("value")).toArrow()  # at most 2^(MOST_BITS - 6) rows
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    words[found.column("place").to_numpy()] = found.column("value").to_numpy().view(np.uint64)
+    return hat_trie.Known(bits, words)
+
+
+def frequent_phrases(docs: DataFrame, longest: int, least: int, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
+    """((lang, phrase, words, n) of the phrases with ``least`` occurrences, (lang, n) of all words)."""
+    context = docs.sparkSession.sparkContext
+    first = materialize(phrase_counts(docs, 1, None, text, lang).where((F.col("n") >= least) | (F.col("phrase") == "")), "words")
+    levels = [first.where("phrase <> ''")]
+    for size in range(2, longest + 1):
+        known = context.broadcast(known_phrases(levels[-1]))
+        counted = phrase_counts(docs, size, known, text, lang).where((F.col("n") >= least) & (F.col("phrase") != ""))
+        levels.append(materialize(counted, "phrases"))
+        known.unpersist()
+    sized = [level.withColumn("words", F.lit(i)) for i, level in enumerate(levels, 1)]
+    return reduce(DataFrame.unionByName, sized), first.where("phrase = ''").select("lang", "n")
 
 
 def _sub(words: Column, start: Column, size: Column) -> Column:
@@ -107,7 +155,7 @@ def scored(counted: DataFrame, longest: int) -> DataFrame:
         F.struct(F.lit("r").alias("side"), _sub(F.col("_w"), F.col("k") + 1, F.col("words") - F.col("k")).alias("part")),
     )
     wanted = cuts.select("lang", "phrase", "words", "a", "k", F.explode(sides).alias("s")).select("lang", "phrase", "words", "a", "k", "s.*")
-    parts = counted.where("words > 0").select("lang", F.col("phrase").alias("part"), F.col("n").alias("f"))
+    parts = counted.select("lang", F.col("phrase").alias("part"), F.col("n").alias("f"))
     met = join_unique(materialize(wanted, "cuts"), parts, ["lang", "part"], "inner")
     columns = [
         F.max(F.when((F.col("k") == k) & (F.col("side") == side), F.col("f"))).alias(f"{side}{k}") for k in range(1, longest) for side in "lr"
@@ -155,11 +203,9 @@ def collocations(
     docs: DataFrame, longest: int = LONGEST, least: int = LEAST, most: int = MOST, text: str = "text", lang: str = "lang"
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score, as the module's text says."""
-    frequent = phrase_counts(docs, longest, text, lang).where((F.col("n") >= least) | (F.col("words") == 0))
-    counted = materialize(frequent, "phrases")
+    counted, totals = frequent_phrases(docs, longest, least, text, lang)
     candidates = materialize(scored(counted, longest), "scored")
     ranked = best_of_each(without_covered(candidates, longest), most)
-    totals = counted.where("words = 0").select("lang", F.col("n"))
     found = join_unique(ranked, totals, ["lang"], "inner")
     return found.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 

@@ -1,16 +1,20 @@
 """Counting runs of words in bounded memory: a shallow trie of word ids over burstable hash containers.
 
-Words get ids in order of appearance, and a run of up to ``longest`` words is one whole number, the first
-word's id highest. A container is a hash table of runs; it covers an interval of prefixes (a hybrid
-container) or a single one (a pure container). One that grows beyond ``BURST`` entries bursts: it is cut
-between two first words, or, once it holds one first word only, between two second words, and so on.
-When all containers together hold ``MOST_ENTRIES`` entries, the largest subtrees are spilled as runs
-sorted by their words, until half of the entries are gone. Ids live as long as the vocabulary stays
-below its bounds; beyond them everything is spilled and ids begin anew.
+Words get ids in order of appearance, and a run of ``size`` words is one whole number, the first word's
+id highest. A container is a hash table of runs; it covers an interval of prefixes (a hybrid container)
+or a single one (a pure container). One that grows beyond ``BURST`` entries bursts: it is cut between
+two first words, or, once it holds one first word only, between two second words, and so on. When
+all containers together hold ``MOST_ENTRIES`` entries, the largest subtrees are spilled as runs sorted by
+their words, until half of the entries are gone. Ids live as long as the vocabulary stays below its
+bounds; beyond them everything is spilled and ids begin anew.
+
+Only runs whose two parts of ``size`` - 1 words may be frequent enter the trie: ``Known`` is a bit array of
+bounded size over the hashes of the frequent ones. A chance hit lets a rare run in, nothing else.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -18,6 +22,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 BURST = 1 << 15
 MOST_ENTRIES = 800_000
@@ -32,26 +37,48 @@ class Vocabulary(dict):
     def __init__(self) -> None:
         super().__init__()
         self.size = 0
+        self.hashes = array("Q", [0])
         self[BOUNDARY] = 0
 
     def __missing__(self, word: bytes) -> int:
         self.size += len(word)
+        self.hashes.append(xxhash.xxh3_64_intdigest(word))
         self[word] = found = len(self)
         return found
 
 
+def run_hashes(lang: str, hashes: list[np.ndarray]) -> np.ndarray:
+    """A hash of each run of a language from the hashes of its words, one array per place."""
+    out = np.full(len(hashes[0]), xxhash.xxh3_64_intdigest(lang.encode()), np.uint64)
+    for word in hashes:
+        out = (out ^ word) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out * np.uint64(0xD6E8FEB86659FD93)
+
+
+@dataclass(frozen=True)
+class Known:
+    """A bit per hash value, addressed by the hash's first ``bits`` bits."""
+
+    bits: int
+    words: np.ndarray
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        slot = hashes >> np.uint64(64 - self.bits)
+        return (self.words[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 @dataclass
 class Container:
     low: int
     counts: Counter = field(default_factory=Counter)
-    limit: int = field(default_factory=lambda: BURST)
 
 
 class Trie:
     """The containers of one language, in order of their lowest prefix."""
 
-    def __init__(self, longest: int, bits: int) -> None:
-        self.longest, self.bits = longest, bits
+    def __init__(self, size: int, bits: int) -> None:
+        self.size, self.bits = size, bits
         self.containers = [Container(0)]
 
     def __len__(self) -> int:
@@ -65,16 +92,16 @@ class Trie:
         for container, start, end in zip(self.containers, edges[:-1], edges[1:], strict=True):
             if end > start:
                 container.counts.update(codes[start:end].tolist())
-                full |= len(container.counts) > container.limit
+                full |= len(container.counts) > BURST
         while full:
-            parts = [self._burst(c) if len(c.counts) > c.limit else [c] for c in self.containers]
+            parts = [self._burst(c) if len(c.counts) > BURST else [c] for c in self.containers]
             full = any(len(p) > 1 for p in parts)
             self.containers = [c for p in parts for c in p]
 
     def _burst(self, container: Container) -> list[Container]:
         keys = np.sort(np.fromiter(container.counts, np.int64, len(container.counts)))
-        for depth in range(1, self.longest):
-            shift = self.bits * (self.longest - depth)
+        for depth in range(1, self.size + 1):
+            shift = self.bits * (self.size - depth)
             prefixes = keys >> shift
             if prefixes[0] == prefixes[-1]:
                 continue
@@ -86,18 +113,17 @@ class Trie:
             for key, n in container.counts.items():
                 (high if key >= cut else low).counts[key] = n
             return [low, high]
-        container.limit *= 2  # one prefix of all but the last word: nothing to cut at
         return [container]
 
 
 class Counting:
-    """Counts of word runs by language, spilled as sorted runs (lang, phrase, words, n)."""
+    """Counts of the runs of ``size`` words by language, spilled as sorted runs (lang, phrase, n)."""
 
-    SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
+    SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 
-    def __init__(self, longest: int) -> None:
-        self.longest = longest
-        self.bits = 63 // longest
+    def __init__(self, size: int, known: Known | None = None) -> None:
+        self.size, self.known = size, known
+        self.bits = 63 // size
         self.tries: dict[str, Trie] = {}
         self.totals: Counter = Counter()
         self.ids = Vocabulary()
@@ -106,8 +132,8 @@ class Counting:
         """Count the runs that end after the first ``context`` tokens; spilled runs are yielded."""
         step = min(CHUNK, 1 << (self.bits - 1))
         for at in range(context, len(tokens), step):
-            start = max(0, at - self.longest + 1)
-            if len(self.ids) + step + self.longest >= 1 << self.bits or self.ids.size > VOCABULARY_BYTES:
+            start = max(0, at - self.size + 1)
+            if len(self.ids) + step + self.size >= 1 << self.bits or self.ids.size > VOCABULARY_BYTES:
                 yield from self.spill(0)
                 self.ids = Vocabulary()
             self._count(lang, tokens[start : at + step], at - start)
@@ -118,16 +144,21 @@ class Counting:
         ids = np.fromiter(map(self.ids.__getitem__, tokens), np.int64, len(tokens))
         inside = ids > 0
         self.totals[lang] += int(inside[context:].sum())
-        codes, code, whole = [], np.zeros(len(ids), np.int64), np.ones(len(ids), bool)
-        for size in range(1, min(self.longest, len(ids)) + 1):
-            places = len(ids) - size + 1
-            code = code[:places] | ids[size - 1 :] << self.bits * (self.longest - size)
-            whole = whole[:places] & inside[size - 1 :]
-            first = max(0, context - size + 1)
-            codes.append(code[first:][whole[first:]])
+        places = len(ids) - self.size + 1
+        if places <= 0:
+            return
+        code, whole = np.zeros(places, np.int64), np.ones(places, bool)
+        for k in range(self.size):
+            code |= ids[k : k + places] << self.bits * (self.size - 1 - k)
+            whole &= inside[k : k + places]
+        if self.known is not None and self.size > 1:
+            hashes = np.frombuffer(self.ids.hashes, np.uint64)[ids]
+            frequent = self.known.holds(run_hashes(lang, [hashes[k : k + places + 1] for k in range(self.size - 1)]))
+            whole &= frequent[:-1] & frequent[1:]
+        first = max(0, context - self.size + 1)
         if lang not in self.tries:
-            self.tries[lang] = Trie(self.longest, self.bits)
-        self.tries[lang].add(np.concatenate(codes))
+            self.tries[lang] = Trie(self.size, self.bits)
+        self.tries[lang].add(code[first:][whole[first:]])
 
     def spill(self, keep: int) -> Iterator[pa.RecordBatch]:
         """Largest subtrees first, until at most ``keep`` entries are left."""
@@ -149,27 +180,25 @@ class Counting:
         keys = np.fromiter(counts.keys(), np.int64, len(counts))
         n = np.fromiter(counts.values(), np.int64, len(counts))
         mask = (1 << self.bits) - 1
-        places = [(keys >> self.bits * (self.longest - 1 - k)) & mask for k in range(self.longest)]
+        places = [(keys >> self.bits * (self.size - 1 - k)) & mask for k in range(self.size)]
         # Word ids to ranks among the words of this run, then one sort of whole numbers.
         used = np.unique(np.concatenate(places))
         named = words.take(pa.array(used))
         rank = np.empty(len(used), np.int64)
-        order = np.argsort(np.array(named.to_pylist(), object), kind="stable") if len(used) else []
+        order = np.argsort(np.array(named.to_pylist(), object), kind="stable")
         rank[order] = np.arange(len(used))
-        rank[used == 0] = -1  # shorter runs stand before longer ones
         ranked = np.zeros(len(keys), np.int64)
         for place in places:
-            ranked = ranked << self.bits | (rank[np.searchsorted(used, place)] + 1)
+            ranked = ranked << self.bits | rank[np.searchsorted(used, place)]
         order = np.argsort(ranked, kind="stable")
-        columns = [words.take(pa.array(place[order], mask=place[order] == 0)) for place in places]
-        phrase = pc.binary_join_element_wise(*columns, b" ", null_handling="skip").cast(pa.string())
-        size = sum((place[order] > 0).astype(np.int32) for place in places)
+        columns = [words.take(pa.array(place[order])) for place in places]
+        phrase = pc.binary_join_element_wise(*columns, b" ").cast(pa.string())
         lang_column = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(keys), np.int64)))
-        return pa.RecordBatch.from_arrays([lang_column, phrase, pa.array(size, pa.int32()), pa.array(n[order])], schema=self.SCHEMA)
+        return pa.RecordBatch.from_arrays([lang_column, phrase, pa.array(n[order])], schema=self.SCHEMA)
 
     def finish(self) -> Iterator[pa.RecordBatch]:
         """What is left, and each language's number of words under the empty phrase."""
         yield from self.spill(0)
         if self.totals:
-            rows = [list(self.totals), [""] * len(self.totals), [0] * len(self.totals), list(self.totals.values())]
+            rows = [list(self.totals), [""] * len(self.totals), list(self.totals.values())]
             yield pa.RecordBatch.from_arrays([pa.array(r, f.type) for r, f in zip(rows, self.SCHEMA, strict=True)], schema=self.SCHEMA)
