@@ -67,7 +67,7 @@ def phrase_counts(docs: DataFrame, size: int, known: Broadcast | None = None, te
     """(lang, phrase, n): phrases of ``size`` words, all whose parts ``known`` holds; the empty phrase has the number of words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counting = hat_trie.Counting(size, known.value if known else None)
+        counting = hat_trie.Counting(size, known.value if known else None) if size > 1 else hat_trie.WordCounting()
         held: dict[str, list[bytes]] = {}
         n_held = 0
         for batch in batches:
@@ -98,8 +98,8 @@ def phrase_counts(docs: DataFrame, size: int, known: Broadcast | None = None, te
 
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")), text)
     runs = rows.mapInArrow(tidy(work), "lang string, phrase string, n bigint")
-    rest = F.pmod(F.xxhash64("phrase"), F.lit(SPREAD))
-    prefix = F.pmod(F.xxhash64("lang", F.substring_index("phrase", " ", 2), rest), F.lit(PREFIXES)).cast("int")
+    rest = [F.substring_index("phrase", " ", 2), F.pmod(F.xxhash64("phrase"), F.lit(SPREAD))] if size > 2 else [F.col("phrase")]
+    prefix = F.pmod(F.xxhash64("lang", *rest), F.lit(PREFIXES)).cast("int")
     dealt = runs.withColumn("prefix", prefix).repartition("prefix")
     return dealt.groupBy("prefix", "lang", "phrase").agg(F.sum("n").alias("n")).drop("prefix")
 

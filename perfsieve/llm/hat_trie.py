@@ -99,7 +99,10 @@ class Trie:
             self.containers = [c for p in parts for c in p]
 
     def _burst(self, container: Container) -> list[Container]:
-        keys = np.sort(np.fromiter(container.counts, np.int64, len(container.counts)))
+        keys = np.fromiter(container.counts, np.int64, len(container.counts))
+        order = np.argsort(keys)
+        counts = np.fromiter(container.counts.values(), np.int64, len(keys))[order].tolist()
+        keys = keys[order]
         for depth in range(1, self.size + 1):
             shift = self.bits * (self.size - depth)
             prefixes = keys >> shift
@@ -109,23 +112,58 @@ class Trie:
             if middle == prefixes[0]:
                 middle = prefixes[np.searchsorted(prefixes, middle, "right")]
             cut = int(middle) << shift
-            low, high = Container(container.low), Container(cut)
-            for key, n in container.counts.items():
-                (high if key >= cut else low).counts[key] = n
+            edge = int(np.searchsorted(keys, cut))
+            listed = keys.tolist()
+            low = Container(container.low, Counter(dict(zip(listed[:edge], counts[:edge], strict=True))))
+            high = Container(cut, Counter(dict(zip(listed[edge:], counts[edge:], strict=True))))
             return [low, high]
         return [container]
 
 
-class Counting:
-    """Counts of the runs of ``size`` words by language, spilled as sorted runs (lang, phrase, n)."""
+class WordCounting:
+    """Counts of single words by language: a trie of depth one is a hash container of words."""
+
+    def __init__(self) -> None:
+        self.counts: dict[str, Counter] = {}
+        self.totals: Counter = Counter()
+
+    def feed(self, lang: str, tokens: list[bytes], context: int = 0) -> Iterator[pa.RecordBatch]:
+        self.counts.setdefault(lang, Counter()).update(tokens[context:])
+        if sum(map(len, self.counts.values())) > MOST_ENTRIES:
+            yield from self.spill()
+
+    def spill(self) -> Iterator[pa.RecordBatch]:
+        for lang, counts in self.counts.items():
+            del counts[BOUNDARY]
+            words = pa.array(list(counts), pa.binary())
+            n = pa.array(list(counts.values()), pa.int64())
+            self.totals[lang] += sum(counts.values())
+            order = pc.array_sort_indices(words)
+            yield _batch(lang, words.take(order).cast(pa.string()), n.take(order))
+        self.counts = {}
+
+    def finish(self) -> Iterator[pa.RecordBatch]:
+        """What is left, and each language's number of words under the empty phrase."""
+        yield from self.spill()
+        for lang, total in self.totals.items():
+            yield _batch(lang, pa.array([""]), pa.array([total], pa.int64()))
 
-    SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+
+SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+
+
+def _batch(lang: str, phrases: pa.Array, n: pa.Array) -> pa.RecordBatch:
+    names = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), np.int64)))
+    return pa.RecordBatch.from_arrays([names, phrases, n], schema=SCHEMA)
+
+
+class Counting:
+    """Counts of the runs of ``size`` words (two or more) by language, spilled as sorted runs (lang, phrase, n)."""
 
     def __init__(self, size: int, known: Known | None = None) -> None:
         self.size, self.known = size, known
         self.bits = 63 // size
         self.tries: dict[str, Trie] = {}
-        self.totals: Counter = Counter()
         self.ids = Vocabulary()
 
     def feed(self, lang: str, tokens: list[bytes], context: int = 0) -> Iterator[pa.RecordBatch]:
@@ -143,7 +181,6 @@ class Counting:
     def _count(self, lang: str, tokens: list[bytes], context: int) -> None:
         ids = np.fromiter(map(self.ids.__getitem__, tokens), np.int64, len(tokens))
         inside = ids > 0
-        self.totals[lang] += int(inside[context:].sum())
         places = len(ids) - self.size + 1
         if places <= 0:
             return
@@ -151,7 +188,7 @@ class Counting:
         for k in range(self.size):
             code |= ids[k : k + places] << self.bits * (self.size - 1 - k)
             whole &= inside[k : k + places]
-        if self.known is not None and self.size > 1:
+        if self.known is not None:
             hashes = np.frombuffer(self.ids.hashes, np.uint64)[ids]
             frequent = self.known.holds(run_hashes(lang, [hashes[k : k + places + 1] for k in range(self.size - 1)]))
             whole &= frequent[:-1] & frequent[1:]
@@ -182,23 +219,21 @@ class Counting:
         mask = (1 << self.bits) - 1
         places = [(keys >> self.bits * (self.size - 1 - k)) & mask for k in range(self.size)]
         # Word ids to ranks among the words of this run, then one sort of whole numbers.
-        used = np.unique(np.concatenate(places))
-        named = words.take(pa.array(used))
-        rank = np.empty(len(used), np.int64)
-        order = np.argsort(np.array(named.to_pylist(), object), kind="stable")
-        rank[order] = np.arange(len(used))
+        marked = np.zeros(len(words), bool)
+        for place in places:
+            marked[place] = True
+        used = np.flatnonzero(marked)
+        order = pc.array_sort_indices(words.take(pa.array(used))).to_numpy()
+        rank = np.zeros(len(words), np.int64)
+        rank[used[order]] = np.arange(len(used))
         ranked = np.zeros(len(keys), np.int64)
         for place in places:
-            ranked = ranked << self.bits | rank[np.searchsorted(used, place)]
+            ranked = ranked << self.bits | rank[place]
         order = np.argsort(ranked, kind="stable")
         columns = [words.take(pa.array(place[order])) for place in places]
         phrase = pc.binary_join_element_wise(*columns, b" ").cast(pa.string())
-        lang_column = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(keys), np.int64)))
-        return pa.RecordBatch.from_arrays([lang_column, phrase, pa.array(n[order])], schema=self.SCHEMA)
+        return _batch(lang, phrase, pa.array(n[order]))
 
     def finish(self) -> Iterator[pa.RecordBatch]:
-        """What is left, and each language's number of words under the empty phrase."""
+        """What is left."""
         yield from self.spill(0)
-        if self.totals:
-            rows = [list(self.totals), [""] * len(self.totals), list(self.totals.values())]
-            yield pa.RecordBatch.from_arrays([pa.array(r, f.type) for r, f in zip(rows, self.SCHEMA, strict=True)], schema=self.SCHEMA)
