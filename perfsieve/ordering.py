@@ -1,24 +1,20 @@
 """Order-dependent results without moving a whole table, or a whole group, into one task.
 
-Everything here follows one plan: learn cut values with a mergeable sketch, turn them into bucket
-numbers, do the ordered work inside buckets and carry totals across buckets through a table with one
-row per bucket.
+Running totals and neighbours: learn cut values with a mergeable sketch, turn them into bucket numbers,
+do the ordered work inside buckets and carry totals across buckets through a table with one row per
+bucket. Quantiles and ranks: radix selection, histograms of 16 bits of an order-preserving key at a time.
 """
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from perfsieve.session import setting
+from perfsieve.session import materialize, setting
 
 MAX_BUCKETS = 1024
 ROWS_PER_BUCKET = 250_000
-SKETCH_ACCURACY = 10_000
-FINE_SKETCH_ROWS = 100_000_000
 SMALL_GROUP = 100_000
 
 
@@ -77,91 +73,112 @@ def previous_value(df: DataFrame, key: str, out: str) -> DataFrame:
     )
 
 
-def _precision(n: int, small: int) -> tuple[int, float]:
-    """(sketch accuracy, share of rows on each side of a wanted rank).
+# --- radix selection -------------------------------------------------------------------------
+# Keys have 64 bits, whose order is that of the values; a pass settles 16 of them.
+DIGIT_BITS = 16
+PASSES = 64 // DIGIT_BITS
+_DIGIT = (1 << DIGIT_BITS) - 1
+_SIGN = -(1 << 63)
+
+
+def double_bits(value: Column) -> Column:
+    """The bits of a double as a long; -0 counts as 0."""
+    return F.call_function("java_method", F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value + F.lit(0.0)).cast("bigint")
+
+
+def key_of_bits(bits: Column) -> Column:
+    """A long whose unsigned order is that of the doubles; NaN comes last."""
+    return F.when(bits < 0, F.bitwise_not(bits)).otherwise(bits.bitwiseXOR(F.lit(_SIGN)))
+
+
+def double_of_key(key: Column) -> Column:
+    bits = F.when(key < 0, key.bitwiseXOR(F.lit(_SIGN))).otherwise(F.bitwise_not(key))
+    return F.call_function("java_method", F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
+
+
+def long_key(value: Column) -> Column:
+    """A long whose unsigned order is the signed order of ``value``; it is its own inverse."""
+    return value.bitwiseXOR(F.lit(_SIGN))
+
+
+def select_ranks(rows: DataFrame, groups: list[str], targets: DataFrame) -> DataFrame:
+    """The keys at 0-based ranks within groups, exact for groups of any size.
 
-    The share is ten times the sketch's error, and two ranks at least; larger tables get a finer sketch
-    so that a range holds few rows.
+    ``rows`` holds ``groups`` (non-null, few) and ``_key``, ``targets`` holds groups, ``_i`` and ``_rank``,
+    at most one row per (group, _i), every rank below its group's size. Each of four passes counts the
+    next 16 bits of the keys that share a target's bits so far, map-side first: 2^16 counters for a
+    target are all that meets in a task, whatever the values. Once few rows are left, they are written
+    and the passes go on over them. Result: groups, _i, _key, _below (rows with smaller keys), _equal.
     """
-    accuracy = SKETCH_ACCURACY if n <= FINE_SKETCH_ROWS else 10 * SKETCH_ACCURACY
-    return accuracy, max(10.0 / accuracy, 2.0 / small)
+    state = targets.select(*groups, "_i", F.lit(0).cast("bigint").alias("_prefix"), F.col("_rank").alias("_left"), F.col("_rank"))
+    total: int | None = None
+    for number in range(PASSES):
+        shift = 64 - DIGIT_BITS * (number + 1)
+        above = F.shiftrightunsigned("_key", shift + DIGIT_BITS) if number else F.lit(0).cast("bigint")
+        digit = F.shiftrightunsigned("_key", shift).bitwiseAND(F.lit(_DIGIT)).cast("int")
+        placed = rows.select(*groups, "_key", above.alias("_prefix"), digit.alias("_digit"))
+        wanted = state.groupBy(*groups, "_prefix").agg(F.collect_list(F.struct("_i", "_left", "_rank")).alias("_targets"))
+        if number:
+            placed = placed.join(F.broadcast(wanted.select(*groups, "_prefix")), [*groups, "_prefix"], "left_semi")
+        counted = placed.groupBy(*groups, "_prefix", "_digit").agg(F.count(F.lit(1)).alias("_n"))
+        upto = Window.partitionBy(*groups, "_prefix").orderBy("_digit").rowsBetween(Window.unboundedPreceding, 0)
+        summed = counted.withColumn("_upto", F.sum("_n").over(upto)).join(F.broadcast(wanted), [*groups, "_prefix"])
+        inside = F.filter("_targets", lambda t: (t["_left"] < F.col("_upto")) & (t["_left"] >= F.col("_upto") - F.col("_n")))
+        hit = summed.withColumn("_t", F.explode(inside))
+        state = materialize(
+            hit.select(
+                *groups,
+                F.col("_t._i").alias("_i"),
+                F.shiftleft("_prefix", DIGIT_BITS).bitwiseOR(F.col("_digit")).alias("_prefix"),
+                (F.col("_t._left") - F.col("_upto") + F.col("_n")).alias("_left"),
+                F.col("_t._rank").alias("_rank"),
+                F.col("_n").alias("_equal"),
+            ),
+            "ranks",
+        )
+        if number < PASSES - 1:
+            total = rows.count() if total is None else total
+            few = state.groupBy(*groups, "_prefix").agg(F.max("_equal").alias("_n"))
+            left = few.agg(F.sum("_n")).first()[0] or 0
+            if 2 * left <= total:
+                kept = rows.withColumn("_prefix", F.shiftrightunsigned("_key", shift))
+                kept = kept.join(F.broadcast(few.drop("_n")), [*groups, "_prefix"], "left_semi")
+                rows, total = materialize(kept.select(*groups, "_key"), "near-ranks"), left
+    return state.select(*groups, "_i", F.col("_prefix").alias("_key"), (F.col("_rank") - F.col("_left")).alias("_below"), "_equal")
 
 
 def exact_quantiles(df: DataFrame, groups: list[str], value: str, shares: list[float]) -> DataFrame:
     """Linearly interpolated quantiles per group, exact for groups of any size.
 
-    When every group is small one aggregate does it. Otherwise pass one sketches, per group, a narrow
-    value range around each wanted rank; pass two counts what lies below the range and ranks only the
-    rows inside it. Output: groups, n, quantiles (array). The number of groups must be small (columns,
-    or heavy keys): the ranges are broadcast.
+    When every group is small one aggregate does it, else the rows at the two ranks around each share
+    are selected by ``select_ranks``. Output: groups, n, quantiles (array). The number of groups must be
+    small (columns, or heavy keys): their ranks are broadcast.
     """
     rows = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
     small = setting(df.sparkSession, "smallGroup", SMALL_GROUP)
-    largest = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    sizes = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.agg(F.max("n")).first()[0]
     if (largest or 0) <= small:
         wanted = F.percentile("_v", F.array(*[F.lit(float(s)) for s in shares]))
         return rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), wanted.alias("quantiles"))
-    accuracy, margin = _precision(largest, small)
-    low = [max(0.0, s - margin) for s in shares]
-    high = [min(1.0, s + margin) for s in shares]
-    both = F.percentile_approx("_v", low + high, accuracy)
-    sketch = rows.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), both.alias("_cuts")
-    )
-
-    def bound(i: int, extreme: str, at_extreme: bool) -> Column:
-        if at_extreme:
-            return F.col(extreme)
-        return F.when(F.col("_n") <= small, F.col(extreme)).otherwise(F.col("_cuts")[i])
-
-    ranges = sketch.select(
-        *groups,
-        "_n",
-        F.array(*[bound(i, "_min", x == 0.0) for i, x in enumerate(low)]).alias("_low"),
-        F.array(*[bound(len(low) + i, "_max", x == 1.0) for i, x in enumerate(high)]).alias("_high"),
-    )
-    placed = rows.join(F.broadcast(ranges), groups)
-    below = placed.groupBy(*groups).agg(
-        F.array(
-            *[F.sum(F.when(F.col("_v") < F.col("_low")[i], 1).otherwise(0)) for i in range(len(shares))]
-        ).alias("_below")
-    )
-    hits = [F.col("_v").between(F.col("_low")[i], F.col("_high")[i]) for i in range(len(shares))]
-    # Few rows pass the plain filter; only those are matched to their ranges.
-    near = placed.where(functools.reduce(lambda a, b: a | b, hits))
-    matched = F.array(*[F.when(hit, F.lit(i)) for i, hit in enumerate(hits)])
-    inside = near.select(*groups, "_v", F.explode(F.array_compact(matched)).alias("_i"))
-    histogram = inside.groupBy(*groups, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    upto = Window.partitionBy(*groups, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    counted = histogram.withColumn("_upto", F.sum("_c").over(upto))
-    facts = ranges.select(*groups, "_n").join(below, groups)
-    counted = counted.join(F.broadcast(facts), groups)
-    share = F.get(F.array(*[F.lit(float(s)) for s in shares]), F.col("_i"))
-    position = share * (F.col("_n") - 1)
-    counted = counted.select(
-        *groups,
-        "_i",
-        "_v",
-        "_n",
-        position.alias("_pos"),
-        F.get("_below", F.col("_i")).alias("_under"),
-        (F.col("_upto") + F.get("_below", F.col("_i"))).alias("_rank"),
-    )
-    picked = counted.groupBy(*groups, "_i", "_n", "_pos", "_under").agg(
-        F.min(F.when(F.col("_rank") > F.floor("_pos"), F.col("_v"))).alias("_a"),
-        F.min(F.when(F.col("_rank") > F.ceil("_pos"), F.col("_v"))).alias("_b"),
-    )
-    missed = (F.col("_under") > F.floor("_pos")) | F.col("_b").isNull()
-    fraction = F.col("_pos") - F.floor("_pos")
-    picked = picked.withColumn(
-        "_q",
-        F.when(missed, F.raise_error(F.lit("quantile range misses its rank")).cast("double")).otherwise(
-            F.col("_a") + (F.col("_b") - F.col("_a")) * fraction
-        ),
-    )
-    return picked.groupBy(*groups, F.col("_n").alias("n")).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("_i", "_q"))), lambda s: s["_q"]).alias("quantiles")
-    )
+    sizes = materialize(sizes, "group-sizes")
+    both = []
+    for i, share in enumerate(shares):
+        position = F.lit(float(share)) * (F.col("n") - 1)
+        for n, rank in ((2 * i, F.floor(position)), (2 * i + 1, F.ceil(position))):
+            both.append(F.struct(F.lit(n).alias("_i"), rank.alias("_rank")))
+    targets = sizes.select(*groups, F.explode(F.array(*both)).alias("_t")).select(*groups, "_t._i", "_t._rank")
+    # Two projections: the bits are taken once.
+    keys = rows.select(*groups, double_bits(F.col("_v")).alias("_bits")).select(*groups, key_of_bits(F.col("_bits")).alias("_key"))
+    found = select_ranks(keys, groups, targets)
+    valued = found.select(*groups, "_i", double_of_key(F.col("_key")).alias("_v"))
+    listed = valued.groupBy(*groups).agg(F.map_from_entries(F.collect_list(F.struct("_i", "_v"))).alias("_at"))
+    quantiles = []
+    for i, share in enumerate(shares):
+        position = F.lit(float(share)) * (F.col("n") - 1)
+        low, high = F.col("_at")[2 * i], F.col("_at")[2 * i + 1]
+        quantiles.append(F.when(low == high, low).otherwise(low + (high - low) * (position - F.floor(position))))
+    return listed.join(sizes, groups).select(*groups, "n", F.array(*quantiles).alias("quantiles"))
 
 
 def merge_rows(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -170,31 +187,19 @@ def merge_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
-def value_at_rank(df: DataFrame, col: str, rank: int, n: int) -> tuple[int, int, int]:
-    """(value, rows below it, rows equal to it) at 0-based ``rank`` among ``n`` non-null longs."""
-    accuracy, margin = _precision(n, setting(df.sparkSession, "smallGroup", SMALL_GROUP))
-    around = [max(0.0, rank / n - margin), min(1.0, rank / n + margin)]
-    low, high = df.agg(F.percentile_approx(col, around, accuracy)).first()[0]
-    below = df.where(F.col(col) < low).count()
-    inside = df.where(F.col(col).between(low, high)).groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
-    # A rank range of twice the margin: one partition of distinct values, spillable, no collect.
-    upto = Window.partitionBy(F.lit(0)).orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
-    hit = (
-        inside.withColumn("_rank", F.sum("_c").over(upto) + F.lit(below))
-        .where(F.col("_rank") > rank)
-        .orderBy("_rank")
-        .first()
-    )
-    if below > rank or hit is None:
-        raise RuntimeError("rank range misses its rank")
-    return hit[col], hit["_rank"] - hit["_c"], hit["_c"]
+def value_at_rank(df: DataFrame, col: str, rank: int) -> tuple[int, int, int]:
+    """(value, rows below it, rows equal to it) at 0-based ``rank`` among non-null longs."""
+    keys = df.select(F.lit(0).alias("_g"), long_key(F.col(col).cast("bigint")).alias("_key"))
+    target = df.sparkSession.createDataFrame([(0, 0, rank)], "_g int, _i int, _rank bigint")
+    row = select_ranks(keys, ["_g"], target).select(long_key(F.col("_key")).alias("v"), "_below", "_equal").first()
+    return row["v"], row["_below"], row["_equal"]
 
 
 def row_at_rank(df: DataFrame, major: str, minor: str, rank: int, n: int, n_major: int):
     """(major, minor) of the row at 0-based ``rank`` in order of major (nulls last), then minor.
 
     ``n`` is the row count and ``n_major`` the count of non-null majors. Both columns are longs.
-    Small tables take one bounded top-k; larger ones select by sketched ranges.
+    Small tables take one bounded top-k; larger ones select by radix.
     """
     small = setting(df.sparkSession, "smallGroup", SMALL_GROUP)
     keys = df.select(major, minor)
@@ -206,14 +211,14 @@ def row_at_rank(df: DataFrame, major: str, minor: str, rank: int, n: int, n_majo
         value, same, inner = None, keys.where(F.col(major).isNull()), rank - n_major
         count = n - n_major
     else:
-        value, under, count = value_at_rank(keys.where(F.col(major).isNotNull()), major, rank, n_major)
+        value, under, count = value_at_rank(keys.where(F.col(major).isNotNull()), major, rank)
         same, inner = keys.where(F.col(major) == F.lit(value)), rank - under
     if count <= small:
         return value, same.orderBy(F.col(minor).asc_nulls_first()).offset(inner).limit(1).first()[minor]
     no_minor = same.where(F.col(minor).isNull()).count()
     if inner < no_minor:
         return value, None
-    return value, value_at_rank(same.where(F.col(minor).isNotNull()), minor, inner - no_minor, count - no_minor)[0]
+    return value, value_at_rank(same.where(F.col(minor).isNotNull()), minor, inner - no_minor)[0]
 
 
 def at_or_after(major: str, minor: str, cut) -> Column:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from perfsieve import ordering
 from perfsieve.operators import embed, enrich, evaluate, splits, summary
-from perfsieve.ordering import exact_quantiles, previous_value, row_at_rank, running_totals
+from perfsieve.ordering import exact_quantiles, long_key, previous_value, row_at_rank, running_totals, select_ranks
 from perfsieve.plans import proxies as P
 from perfsieve.skew import heavy_keys, join_unique
 
@@ -52,7 +55,7 @@ def test_number_of_broadcast_keys_is_bounded(spark, tuned):
     assert heavy_keys(rows, ["k"], heavy_rows=1000) is None
 
 
-@pytest.mark.parametrize("small", [100_000, 200], ids=["one aggregate", "sketched ranges"])
+@pytest.mark.parametrize("small", [100_000, 200], ids=["one aggregate", "radix"])
 def test_exact_quantiles(spark, tuned, small):
     tuned(smallGroup=small)
     rng = np.random.default_rng(2)
@@ -66,7 +69,68 @@ def test_exact_quantiles(spark, tuned, small):
         assert r["quantiles"] == pytest.approx(list(np.quantile(groups[r["g"]], shares)), rel=1e-12, abs=1e-12)
 
 
-@pytest.mark.parametrize("small", [100_000, 100], ids=["top-k", "sketched ranges"])
+NEIGHBOURS = 1.0 + np.arange(3000) * 2.0**-52
+
+
+@pytest.mark.parametrize(
+    "values",
+    [
+        NEIGHBOURS,  # all share their first 40 bits and any sketch's bracket
+        np.concatenate([-NEIGHBOURS, NEIGHBOURS]),
+        np.array([0.0, -0.0, 5e-324, -5e-324, 1e308, -1e308, 2.5, 2.5] * 100),
+        np.concatenate([np.full(2000, 7.0), np.full(1000, 7.0000000000000009), [1e-300]]),
+        np.array([math.inf, 1.0, -1.0] * 300),
+    ],
+    ids=["neighbours", "both signs", "extremes", "ties", "infinite"],
+)
+def test_ranks_of_values_no_sketch_can_part(spark, tuned, values):
+    tuned(smallGroup=10)
+    rng = np.random.default_rng(4)
+    frame = spark.createDataFrame([("g", float(v)) for v in rng.permutation(values)], "g string, v double").repartition(4)
+    shares = [0.0, 0.123, 0.5, 0.9, 1.0]
+    out = exact_quantiles(frame, ["g"], "v", shares).first()
+    ordered = np.sort(values)
+    for share, found in zip(shares, out["quantiles"]):
+        place = share * (len(ordered) - 1)
+        low, high = ordered[math.floor(place)], ordered[math.ceil(place)]
+        assert found == (low if low == high else low + (high - low) * (place - math.floor(place)))
+    assert out["n"] == len(values)
+
+
+def test_selected_ranks_tell_what_lies_below(spark):
+    rng = np.random.default_rng(5)
+    values = {g: rng.integers(-50, 50, 900) * scale for g, scale in (("a", 1), ("b", 2**40))}
+    rows = spark.createDataFrame([(g, int(v)) for g, vs in values.items() for v in vs], "g string, v long")
+    targets = [(g, i, r) for g in values for i, r in enumerate([0, 1, 449, 450, 899])]
+    keys = rows.select("g", long_key(F.col("v")).alias("_key"))
+    found = select_ranks(keys, ["g"], spark.createDataFrame(targets, "g string, _i int, _rank long"))
+    out = {(r["g"], r["_i"]): (r["v"], r["_below"], r["_equal"]) for r in found.select("*", long_key(F.col("_key")).alias("v")).collect()}
+    assert len(out) == len(targets)
+    for g, i, rank in targets:
+        value = int(np.sort(values[g])[rank])
+        assert out[g, i] == (value, int((values[g] < value).sum()), int((values[g] == value).sum()))
+
+
+def test_no_task_of_a_selection_holds_more_than_its_counters(spark, tuned, monkeypatch):
+    """Every written step of a selection over 60,000 rows with one bracket stays below the counters' bound."""
+    tuned(smallGroup=10)
+    rows = spark.range(60_000).selectExpr("'g' AS g", "CAST(id AS DOUBLE) * 1e-9 + 1 AS v")
+    written = []
+    real = ordering.materialize
+
+    def watched(df, purpose):
+        out = real(df, purpose)
+        written.append((purpose, out.count()))
+        return out
+
+    monkeypatch.setattr(ordering, "materialize", watched)
+    out = exact_quantiles(rows, ["g"], "v", [0.5]).first()
+    assert out["quantiles"] == [pytest.approx(1 + 29999.5e-9, abs=1e-15)]
+    assert all(n <= 2 for purpose, n in written if purpose == "ranks")
+    assert all(n <= 60_000 / 2 for purpose, n in written if purpose == "near-ranks") and len(written) >= 5
+
+
+@pytest.mark.parametrize("small", [100_000, 100], ids=["top-k", "radix"])
 def test_rows_at_ranks(spark, tuned, small):
     tuned(smallGroup=small)
     rng = np.random.default_rng(6)
@@ -123,26 +187,53 @@ def test_average_precision_with_random_ties(spark):
     assert evaluate.roc_auc(rows).first()["roc_auc"] == pytest.approx(float(np.mean(pairs)))
 
 
-@pytest.mark.parametrize("values", [{}, {"heavyRows": 3}], ids=["plain", "heavy"])
-def test_pooling(spark, tuned, values):
-    tuned(**values)
-    notes = [(1, "a b a  a"), (2, "b unknown"), (3, " "), (4, None), (5, "a")]
-    vectors = {"a": [1.0, -2.0], "b": [3.0, -4.0]}
+@pytest.mark.parametrize("block_bytes", [embed.BLOCK_BYTES, 100], ids=["one block", "many blocks"])
+def test_pooling(spark, block_bytes):
+    notes = [(1, "a b a  a"), (2, "b unknown"), (3, " "), (4, None), (5, "a"), (6, "nothing known"), (7, "a " * 25_000 + "b")]
+    vectors = {"a": [1.0, -2.0], "b": [3.0, -4.0], "never": [9.0, 9.0], "used": [9.0, 9.0]}
     frame = spark.createDataFrame(notes, "id long, note string")
     words = spark.createDataFrame(list(vectors.items()), "word string, vector array<float>")
-    out = {r["id"]: r["embedding"] for r in embed.pool_notes(frame, words, 2, "id", "note").collect()}
+    out = {r["id"]: r["embedding"] for r in embed.pool_notes(frame, words, 2, "id", "note", block_bytes=block_bytes).collect()}
     assert out == {
         1: pytest.approx([1.5, -2.5, 3.0, -2.0]),
         2: pytest.approx([1.5, -2.0, 3.0, 0.0]),
         3: [0.0] * 4,
         4: [0.0] * 4,
         5: [1.0, -2.0, 1.0, -2.0],
+        6: [0.0] * 4,
+        7: pytest.approx([25_003 / 25_001, -50_004 / 25_001, 3.0, -2.0]),
     }
     grams = spark.createDataFrame([("<unkn", [2.0, 2.0]), ("nown>", [4.0, 6.0]), ("other", [9.0, 9.0])], "ngram string, vector array<float>")
-    out = {r["id"]: r["embedding"] for r in embed.pool_notes(frame, words, 2, "id", "note", grams).collect()}
+    out = {r["id"]: r["embedding"] for r in embed.pool_notes(frame, words, 2, "id", "note", grams, block_bytes=block_bytes).collect()}
     assert out[2] == pytest.approx([3.0, 0.0, 3.0, 4.0])
 
 
+def test_pooling_moves_no_vector(spark):
+    notes = P.notes(spark, SF_DIR)
+    words = spark.createDataFrame([("von", [1.0, 2.0]), ("the", [0.0, 1.0])], "word string, vector array<float>")
+    plan = embed.pool_notes(notes, words, 2, "doc_id", "notes")._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    # The vectors are broadcast; what `spread` deals out are the notes themselves.
+    assert all("BroadcastExchange" in line or "RoundRobin" in line or "roundrobin" in line for line in exchanges), exchanges
+
+
+def plain_bucket(gram: str, n: int) -> int:
+    h = 2166136261
+    for byte in gram.encode():
+        h = ((h ^ (byte if byte < 128 else byte + 0xFFFFFF00)) * 16777619) % 2**32
+    return h % n
+
+
+def test_buckets_of_ngrams(spark):
+    grams = ["<unkn", "nown>", "", "é", "日本語です", "a" * 30]
+    rows = spark.createDataFrame([(g,) for g in grams], "g string")
+    out = {r["g"]: r["b"] for r in rows.select("g", embed.ngram_bucket(F.col("g"), 2_000_000).alias("b")).collect()}
+    assert out == {g: plain_bucket(g, 2_000_000) if g else None for g in grams}
+    words = spark.createDataFrame([("unknown",)], "word string")
+    buckets = spark.createDataFrame([(plain_bucket(g, 97), [float(i), 1.0]) for i, g in enumerate(["<unkn", "nown>"])], "bucket long, vector array<float>")
+    assert embed.subword_vectors(words, buckets, n_buckets=97).first()["vector"] is not None
+
+
 def test_folds_keep_the_class_ratio(spark):
     rows = spark.range(1003).selectExpr("id", "CAST(id % 7 = 0 AS INT) AS label")
     folds = splits.stratified_folds(rows, "label", "id")
