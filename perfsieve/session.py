@@ -61,7 +61,12 @@ def _run_folder(spark: SparkSession) -> str:
 
 def remove_work(spark: SparkSession) -> None:
     """Delete what this run has written to the shared folder; frames that read from it are lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+    remove_folder(spark, _run_folder(spark))
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that no frame in use reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
