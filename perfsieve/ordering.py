@@ -16,6 +16,8 @@ from perfsieve.session import materialize, setting
 MAX_BUCKETS = 1024
 ROWS_PER_BUCKET = 250_000
 SMALL_GROUP = 100_000
+# Rows of two numbers that one top-k may order.
+SMALL_TABLE = 400_000
 
 
 def cut_values(df: DataFrame, col: str) -> list[float]:
@@ -76,7 +78,6 @@ def previous_value(df: DataFrame, key: str, out: str) -> DataFrame:
 # --- radix selection -------------------------------------------------------------------------
 # Keys have 64 bits, whose order is that of the values; a pass settles 16 of them.
 DIGIT_BITS = 16
-PASSES = 64 // DIGIT_BITS
 _DIGIT = (1 << DIGIT_BITS) - 1
 _SIGN = -(1 << 63)
 
@@ -101,50 +102,79 @@ def long_key(value: Column) -> Column:
     return value.bitwiseXOR(F.lit(_SIGN))
 
 
-def select_ranks(rows: DataFrame, groups: list[str], targets: DataFrame) -> DataFrame:
+def select_ranks(rows: DataFrame, groups: list[str], targets: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """The keys at 0-based ranks within groups, exact for groups of any size.
 
     ``rows`` holds ``groups`` (non-null, few) and ``_key``, ``targets`` holds groups, ``_i`` and ``_rank``,
-    at most one row per (group, _i), every rank below its group's size. Each of four passes counts the
-    next 16 bits of the keys that share a target's bits so far, map-side first: 2^16 counters for a
-    target are all that meets in a task, whatever the values. Once few rows are left, they are written
-    and the passes go on over them. Result: groups, _i, _key, _below (rows with smaller keys), _equal.
+    at most one row per (group, _i), every rank below its group's size. Bits that a group's keys share are
+    left out first. Each pass, four at most, counts the next 16 bits of the keys that share a target's
+    bits so far, map-side first: 2^16 counters for a target are all that meets in a task, whatever the
+    values. Once few rows are left, they are written, or, below ``smallGroup``, ranked as they are.
+    ``ends`` may give each group's _low and _high (its extreme keys, by unsigned order) and _n (its rows).
+    Result: groups, _i, _key, _below (rows with smaller keys), _equal.
     """
+    small = setting(rows.sparkSession, "smallGroup", SMALL_GROUP)
+    if ends is None:
+        low, high = (long_key(extreme(long_key(F.col("_key")))) for extreme in (F.min, F.max))
+        ends = rows.groupBy(*groups).agg(low.alias("_low"), high.alias("_high"), F.count(F.lit(1)).alias("_n"))
+    # The bits above the first difference are the same in all keys of the group.
+    same = F.least(F.lit(63), 64 - F.length(F.bin(F.col("_low").bitwiseXOR(F.col("_high")))))
+    first = F.when(same > 0, F.call_function("shiftrightunsigned", F.col("_low"), (64 - same).cast("int"))).otherwise(F.lit(0))
+    ends = materialize(ends.select(*groups, "_n", same.cast("int").alias("_same"), first.cast("bigint").alias("_first")), "rank-ends")
+    facts = ends.agg(F.sum("_n"), F.min("_same")).first()
+    total, bits = facts[0] or 0, 64 - (facts[1] or 0)
+    joined = rows.join(F.broadcast(ends.select(*groups, "_same")), groups)
+    rows = joined.select(*groups, F.call_function("shiftleft", F.col("_key"), F.col("_same")).alias("_bits"))
     state = targets.select(*groups, "_i", F.lit(0).cast("bigint").alias("_prefix"), F.col("_rank").alias("_left"), F.col("_rank"))
-    total: int | None = None
-    for number in range(PASSES):
-        shift = 64 - DIGIT_BITS * (number + 1)
-        above = F.shiftrightunsigned("_key", shift + DIGIT_BITS) if number else F.lit(0).cast("bigint")
-        digit = F.shiftrightunsigned("_key", shift).bitwiseAND(F.lit(_DIGIT)).cast("int")
-        placed = rows.select(*groups, "_key", above.alias("_prefix"), digit.alias("_digit"))
+    done = 0
+
+    def settle(state: DataFrame, counted: DataFrame) -> DataFrame:
+        """``state`` with the digit that each target's rank falls on."""
         wanted = state.groupBy(*groups, "_prefix").agg(F.collect_list(F.struct("_i", "_left", "_rank")).alias("_targets"))
-        if number:
-            placed = placed.join(F.broadcast(wanted.select(*groups, "_prefix")), [*groups, "_prefix"], "left_semi")
-        counted = placed.groupBy(*groups, "_prefix", "_digit").agg(F.count(F.lit(1)).alias("_n"))
-        upto = Window.partitionBy(*groups, "_prefix").orderBy("_digit").rowsBetween(Window.unboundedPreceding, 0)
+        upto = Window.partitionBy(*groups, "_prefix").orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
         summed = counted.withColumn("_upto", F.sum("_n").over(upto)).join(F.broadcast(wanted), [*groups, "_prefix"])
         inside = F.filter("_targets", lambda t: (t["_left"] < F.col("_upto")) & (t["_left"] >= F.col("_upto") - F.col("_n")))
+        left = F.col("_t._left") - F.col("_upto") + F.col("_n")
         hit = summed.withColumn("_t", F.explode(inside))
-        state = materialize(
-            hit.select(
-                *groups,
-                F.col("_t._i").alias("_i"),
-                F.shiftleft("_prefix", DIGIT_BITS).bitwiseOR(F.col("_digit")).alias("_prefix"),
-                (F.col("_t._left") - F.col("_upto") + F.col("_n")).alias("_left"),
-                F.col("_t._rank").alias("_rank"),
-                F.col("_n").alias("_equal"),
-            ),
-            "ranks",
-        )
-        if number < PASSES - 1:
-            total = rows.count() if total is None else total
-            few = state.groupBy(*groups, "_prefix").agg(F.max("_equal").alias("_n"))
-            left = few.agg(F.sum("_n")).first()[0] or 0
-            if 2 * left <= total:
-                kept = rows.withColumn("_prefix", F.shiftrightunsigned("_key", shift))
-                kept = kept.join(F.broadcast(few.drop("_n")), [*groups, "_prefix"], "left_semi")
-                rows, total = materialize(kept.select(*groups, "_key"), "near-ranks"), left
-    return state.select(*groups, "_i", F.col("_prefix").alias("_key"), (F.col("_rank") - F.col("_left")).alias("_below"), "_equal")
+        return hit.select(*groups, "_t._i", "_t._rank", "_prefix", "_digit", left.alias("_left"), F.col("_n").alias("_equal"))
+
+    while True:
+        shift = 64 - DIGIT_BITS * (done + 1)
+        if total <= small or shift < 0:
+            break
+        above = F.shiftrightunsigned("_bits", shift + DIGIT_BITS) if done else F.lit(0).cast("bigint")
+        digit = F.shiftrightunsigned("_bits", shift).bitwiseAND(F.lit(_DIGIT))
+        placed = rows.select(*groups, above.alias("_prefix"), digit.alias("_digit"))
+        if done:
+            placed = placed.join(F.broadcast(state.select(*groups, "_prefix").distinct()), [*groups, "_prefix"], "left_semi")
+        counted = placed.groupBy(*groups, "_prefix", "_digit").agg(F.count(F.lit(1)).alias("_n"))
+        following = settle(state, counted.withColumn("_order", F.col("_digit")))
+        deeper = F.shiftleft("_prefix", DIGIT_BITS).bitwiseOR(F.col("_digit"))
+        state = materialize(following.select(*groups, "_i", deeper.alias("_prefix"), "_left", "_rank", "_equal"), "ranks")
+        done += 1
+        if done * DIGIT_BITS >= bits:
+            break
+        near = state.groupBy(*groups, "_prefix").agg(F.max("_equal").alias("_n"))
+        left = near.agg(F.sum("_n")).first()[0] or 0
+        if 2 * left <= total:
+            kept = rows.withColumn("_prefix", F.shiftrightunsigned("_bits", shift))
+            kept = kept.join(F.broadcast(near.drop("_n")), [*groups, "_prefix"], "left_semi")
+            rows, total = materialize(kept.select(*groups, "_bits"), "near-ranks"), left
+    shift = 64 - DIGIT_BITS * done
+    if done and done * DIGIT_BITS >= bits:
+        found = state.withColumn("_bits", F.shiftleft("_prefix", shift) if shift else F.col("_prefix"))
+    else:  # few rows: whole keys in place of digits
+        prefix = F.shiftrightunsigned("_bits", shift) if done else F.lit(0).cast("bigint")
+        placed = rows.select(*groups, prefix.alias("_prefix"), F.col("_bits").alias("_digit"))
+        if done:
+            placed = placed.join(F.broadcast(state.select(*groups, "_prefix").distinct()), [*groups, "_prefix"], "left_semi")
+        counted = placed.groupBy(*groups, "_prefix", "_digit").agg(F.count(F.lit(1)).alias("_n"))
+        ranked = settle(state, counted.withColumn("_order", F.col("_digit").bitwiseXOR(F.lit(_SIGN))))
+        found = ranked.withColumnRenamed("_digit", "_bits")
+    back = found.join(F.broadcast(ends.select(*groups, "_same", "_first")), groups)
+    low = F.call_function("shiftrightunsigned", F.col("_bits"), F.col("_same"))
+    high = F.when(F.col("_same") > 0, F.call_function("shiftleft", F.col("_first"), (64 - F.col("_same")).cast("int"))).otherwise(F.lit(0).cast("bigint"))
+    return back.select(*groups, "_i", low.bitwiseOR(high).alias("_key"), (F.col("_rank") - F.col("_left")).alias("_below"), "_equal")
 
 
 def exact_quantiles(df: DataFrame, groups: list[str], value: str, shares: list[float]) -> DataFrame:
@@ -156,7 +186,7 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, shares: list[f
     """
     rows = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
     small = setting(df.sparkSession, "smallGroup", SMALL_GROUP)
-    sizes = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
+    sizes = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
     largest = sizes.agg(F.max("n")).first()[0]
     if (largest or 0) <= small:
         wanted = F.percentile("_v", F.array(*[F.lit(float(s)) for s in shares]))
@@ -170,7 +200,9 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, shares: list[f
     targets = sizes.select(*groups, F.explode(F.array(*both)).alias("_t")).select(*groups, "_t._i", "_t._rank")
     # Two projections: the bits are taken once.
     keys = rows.select(*groups, double_bits(F.col("_v")).alias("_bits")).select(*groups, key_of_bits(F.col("_bits")).alias("_key"))
-    found = select_ranks(keys, groups, targets)
+    low, high = (key_of_bits(double_bits(F.col(c))) for c in ("_least", "_most"))
+    ends = sizes.select(*groups, low.alias("_low"), high.alias("_high"), F.col("n").alias("_n"))
+    found = select_ranks(keys, groups, targets, ends)
     valued = found.select(*groups, "_i", double_of_key(F.col("_key")).alias("_v"))
     listed = valued.groupBy(*groups).agg(F.map_from_entries(F.collect_list(F.struct("_i", "_v"))).alias("_at"))
     quantiles = []
@@ -201,7 +233,7 @@ def row_at_rank(df: DataFrame, major: str, minor: str, rank: int, n: int, n_majo
     ``n`` is the row count and ``n_major`` the count of non-null majors. Both columns are longs.
     Small tables take one bounded top-k; larger ones select by radix.
     """
-    small = setting(df.sparkSession, "smallGroup", SMALL_GROUP)
+    small = setting(df.sparkSession, "smallGroup", SMALL_TABLE)
     keys = df.select(major, minor)
     if n <= small:
         order = [F.col(major).asc_nulls_last(), F.col(minor).asc_nulls_first()]

@@ -127,7 +127,8 @@ def test_no_task_of_a_selection_holds_more_than_its_counters(spark, tuned, monke
     out = exact_quantiles(rows, ["g"], "v", [0.5]).first()
     assert out["quantiles"] == [pytest.approx(1 + 29999.5e-9, abs=1e-15)]
     assert all(n <= 2 for purpose, n in written if purpose == "ranks")
-    assert all(n <= 60_000 / 2 for purpose, n in written if purpose == "near-ranks") and len(written) >= 5
+    assert all(n <= 60_000 / 2 for purpose, n in written if purpose == "near-ranks")
+    assert "ranks" in dict(written)
 
 
 @pytest.mark.parametrize("small", [100_000, 100], ids=["top-k", "radix"])
