@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +11,6 @@ from perfsieve.ordering import exact_quantiles
 from perfsieve.skew import heavy_keys, split_heavy
 
 
-# Rows that are profiled at once, and those of the group that follows.
-PROFILE_ROWS = 50_000
-
-
 def present(df: DataFrame, candidates: list[str]) -> list[str]:
     """The candidates that exist, in candidate order."""
     have = set(df.columns)
@@ -81,75 +73,6 @@ def category_profile(
     return profiles.select(*keys, *wanted)
 
 
-def _profile_of(rows: pa.Table, n_modes: int) -> pa.RecordBatch:
-    """Mode and distinct count of every value column, by runs of equal (_id, _no_id); rows stand in row order."""
-    ids = rows.column("_id").to_numpy()
-    none = rows.column("_no_id").to_numpy()
-    starts = np.concatenate([[0], np.flatnonzero((ids[1:] != ids[:-1]) | (none[1:] != none[:-1])) + 1])
-    group = np.repeat(np.arange(len(starts)), np.diff([*starts, len(ids)]))
-    columns, names = [pa.array(ids[starts]), pa.array(none[starts])], ["_id", "_no_id"]
-    for i, name in enumerate(rows.column_names[2:]):
-        column = rows.column(name).combine_chunks().dictionary_encode()
-        given = column.is_valid().to_numpy(zero_copy_only=False)
-        n_values = max(1, len(column.dictionary))
-        cells = group[given] * n_values + column.indices.drop_null().to_numpy()
-        # Distinct (group, value) cells with their first row and their count.
-        cell, first, count = np.unique(cells, return_index=True, return_counts=True)
-        owner = cell // n_values
-        order = np.lexsort((first, -count, owner))
-        best = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])] if len(order) else order
-        place = np.zeros(len(starts), np.int64)
-        missing = np.ones(len(starts), bool)
-        place[owner[best]], missing[owner[best]] = cell[best] % n_values, False
-        if i < n_modes:
-            columns.append(column.dictionary.take(pa.array(place, mask=missing)))
-            names.append(f"m{i}")
-        columns.append(pa.array(np.bincount(owner, minlength=len(starts))))
-        names.append(f"n{i}")
-    return pa.RecordBatch.from_arrays(columns, names=names)
-
-
-def _profile_runs(n_modes: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        n_held = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            n_held += batch.num_rows
-            if n_held < PROFILE_ROWS:
-                continue
-            rows = pa.Table.from_batches(held)
-            ids, none = rows.column("_id").to_numpy(), rows.column("_no_id").to_numpy()
-            edges = np.flatnonzero((ids[1:] != ids[:-1]) | (none[1:] != none[:-1])) + 1
-            if len(edges):  # the last group may go on in the next batch
-                yield _profile_of(rows.slice(0, int(edges[-1])), n_modes)
-                held = rows.slice(int(edges[-1])).to_batches()
-                n_held = sum(b.num_rows for b in held)
-        if n_held:
-            yield _profile_of(pa.Table.from_batches(held), n_modes)
-
-    return work
-
-
-def category_runs(placed: DataFrame, order: str, modes: list[str], counts: list[str]) -> DataFrame:
-    """``category_profile`` for ordinary keys (_id, _no_id), whose rows ``placed`` holds in one task each.
-
-    Rows are sorted by key and row order and read once; a batch of whole groups is counted at a time.
-    """
-    modes = list(dict.fromkeys(modes))
-    columns = [*modes, *[c for c in dict.fromkeys(counts) if c not in modes]]
-    types = dict(placed.dtypes)
-    texts = [F.col(c).cast("string").alias(f"v{i}") for i, c in enumerate(columns)]
-    ordered = placed.select("_id", "_no_id", order, *texts).sortWithinPartitions("_id", "_no_id", order).drop(order)
-    fields = "".join([f", m{i} string, n{i} bigint" if i < len(modes) else f", n{i} bigint" for i in range(len(columns))])
-    found = ordered.mapInArrow(_profile_runs(len(modes)), f"_id {types['_id']}, _no_id boolean{fields}")
-    wanted = [F.col(f"m{i}").cast(types[c]).alias(f"{c}__mode") for i, c in enumerate(modes)]
-    wanted += [F.col(f"n{i}").alias(f"{c}__nunique") for i, c in enumerate(columns) if c in counts]
-    return found.select("_id", "_no_id", *wanted)
-
-
 def grouped_p90(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Interpolated 90th percentile for ordinary keys: a key's values meet in one short list."""
     return df.groupBy(*keys).agg(*[_list_p90(c) for c in columns])
@@ -221,7 +144,7 @@ def aggregate_alerts(
     def ordinary(df: DataFrame) -> DataFrame:
         placed = keyed(df).repartition(*keys)
         base = basic(placed, [_list_p90(c) for c in numbers])
-        return base.join(category_runs(placed, order, categories, counted), keys, "left") if counted else base
+        return base.join(category_profile(placed, keys, order, categories, counted), keys, "left") if counted else base
 
     def of_heavy(df: DataFrame) -> DataFrame:
         df = keyed(df)
