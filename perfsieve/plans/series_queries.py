@@ -9,7 +9,7 @@ from perfsieve import constants as C
 from perfsieve.operators import series as S
 from perfsieve.plans import proxies as P
 from perfsieve.plans.registry import comparable, query, sql_round
-from perfsieve.plans.summary_queries import DIRTY_SERIES_SQL, dirty_series
+from perfsieve.plans.summary_queries import DIRTY_SERIES, DIRTY_SERIES_SQL, dirty_series
 from perfsieve.session import materialize
 from perfsieve.sources import series as source
 
@@ -177,10 +177,10 @@ def _metrics(s: str, wrap) -> str:
     return ", ".join(f"{wrap(f'CASE WHEN {enough} THEN {e} END')} AS ts_{m}_{s}" for m, e in exprs.items())
 
 
-def features_sql(wrap=lambda e: e) -> str:
+def features_sql(wrap=lambda e: e, points: str = POINTS_SQL, latest: str = ASOF_SQL) -> str:
     """``feats``: multi-scale features of every resolved pair, from scratch over the points."""
     return f"""
-    {resolved_sql(P.series_sql(), False)}, {POINTS_SQL}, {ANCHORS_SQL}, {ASOF_SQL},
+    {resolved_sql(P.series_sql(), False)}, {points}, {ANCHORS_SQL}, {latest},
     stats AS (SELECT x.folder, x.{SIG}, x.anchor, x.idx, {', '.join(_sides(s, a, b) for a, b, s in C.WINDOW_SCALES)}
         FROM latest x JOIN points p ON x.folder = p.folder AND x.{SIG} = p.{SIG} AND p.rn BETWEEN x.idx - 50 AND x.idx + 20
         GROUP BY x.folder, x.{SIG}, x.anchor, x.idx),
@@ -202,6 +202,30 @@ def ts_window_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(multi(spark, sf_dir).select(ID, SIG, "folder", "idx", *NAMES))
 
 
+# Points without a push keep their place in the file; the last one with a push at or below the anchor counts.
+DIRTY_SHUFFLED = {**DIRTY_SERIES, "seq": SHUFFLED["seq"]}
+FILE_POINTS_SQL = f"""
+    points AS (SELECT *, row_number() OVER (PARTITION BY folder, {SIG} ORDER BY seq) AS rn FROM (
+        SELECT folder, {SIG}, seq, TRY_CAST(push_id AS DOUBLE) AS push_id, TRY_CAST(value AS DOUBLE) AS value
+        FROM (SELECT {P.listing(DIRTY_SHUFFLED)} FROM events)) WHERE value IS NOT NULL)
+"""
+FILE_LATEST_SQL = f"""
+    latest AS (SELECT x.folder, x.{SIG}, x.anchor, max(p.rn) AS idx FROM anchors x JOIN points p
+        ON x.folder = p.folder AND x.{SIG} = p.{SIG} AND p.push_id <= x.anchor GROUP BY ALL)
+"""
+
+
+@query(
+    "ts_window_features_file_order",
+    f"WITH {features_sql(sql_round, FILE_POINTS_SQL, FILE_LATEST_SQL)} SELECT {ID}, {SIG}, folder, idx, {', '.join(NAMES)} FROM feats",
+)
+def ts_window_features_file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = P.table(spark, sf_dir, "events").selectExpr(*[f"{e} AS {n}" for n, e in DIRTY_SHUFFLED.items()])
+    points, listed = source.clean_points(raw), files(P.series(spark, sf_dir))
+    found = S.window_features(pairs(spark, sf_dir), points, listed, file_order=True)
+    return comparable(found.select(ID, SIG, "folder", "idx", *NAMES))
+
+
 @query(
     "agg_slope",
     f"SELECT folder, {SIG}, count(*) AS n, CASE WHEN count(*) < 2 THEN 0 ELSE {sql_round('regr_slope(value, rn)')} END AS slope "

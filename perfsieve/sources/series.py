@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import functools
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perfsieve.constants import SERIES_FILE_SUFFIX
 from perfsieve.session import materialize
+from perfsieve.skew import join_unique
 from perfsieve.sources.files import as_null, file_listing
 
 # .../<folder>/<signature>_timeseries_data.csv, the file possibly being a folder Spark wrote.
 _PATH = rf"(?:^|/)(?:folder=)?([^/]+)/(?:file=)?([^/]+){SERIES_FILE_SUFFIX.replace('.', '[.]')}(?:/part-[^/]*)?$"
-MAX_HEADERS = 100
+POINT_COLUMNS = ["push_id", "revision", "value", "seq"]
 SERIES_KEYS = ["folder", "signature_id"]
 
 
@@ -30,22 +29,28 @@ def series_files(spark: SparkSession, root: str, pattern: str = f"*{SERIES_FILE_
     return keys.where(F.col("signature_id").isNotNull()).distinct()
 
 
-def _headers(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """(path, header) of every file whose first line names a value column."""
+def _named_columns(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """(path, names) of every file whose first line names a value column, in that line's order."""
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
     lines = reader.text(root).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
     named = lines.where((F.col("at") == 0) & F.col("value").rlike(r'(^|,)\s*"?value"?\s*(,|$)'))
     # Points hold numbers and hashes; a line that names the value column can only be a header.
-    return named.groupBy("path").agg(F.min("value").alias("header"))
+    headers = named.groupBy("path").agg(F.min("value").alias("header"))
+    # A comma inside quotes belongs to a name.
+    parts = F.split("header", ',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    return headers.select("path", F.transform(parts, lambda n: F.trim(F.regexp_replace(n, '^\\s*"|"\\s*$', ""))).alias("names"))
+
 
+def _place(name: str) -> Column:
+    """Where ``names`` has a name first, counted from 0; null without it."""
+    return (F.nullif(F.array_position("names", name), F.lit(0)) - 1).cast("int")
 
-def _read_with(spark: SparkSession, root: str, pattern: str, header: str) -> DataFrame:
-    """All files read as if this were the header of each."""
-    names = [n.strip().strip('"') for n in header.split(",")]
-    # A name that repeats, or none at all, cannot be asked for: its column gets a name of its own.
-    unique = [n if n and n not in names[:i] else f"_column_{i}" for i, n in enumerate(names)]
+
+def _raw_fields(spark: SparkSession, root: str, pattern: str, width: int) -> DataFrame:
+    """(path, file keys, fields, read order) of every line after the first of each file."""
+    fields = [f"_field_{i}" for i in range(width)]
     raw = (
-        spark.read.schema(", ".join(f"`{n.replace('`', '``')}` string" for n in unique))
+        spark.read.schema(", ".join(f"{n} string" for n in fields))
         .option("header", "true")
         .option("enforceSchema", "true")
         .option("mode", "PERMISSIVE")
@@ -54,33 +59,37 @@ def _read_with(spark: SparkSession, root: str, pattern: str, header: str) -> Dat
         .csv(root)
     )
     path = F.col("_metadata.file_path")
-    columns = [
-        (as_null(F.col(c)) if c in unique else F.lit(None).cast("string")).alias(c) for c in ["push_id", "revision", "value"]
-    ]
-    order = F.col("seq").try_cast("bigint") if "seq" in unique else F.monotonically_increasing_id()
-    return raw.select(path.alias("path"), *_keys_from(path), *columns, order.alias("seq"))
+    return raw.select(
+        path.alias("path"), *_keys_from(path), F.array(*fields).alias("_fields"), F.monotonically_increasing_id().alias("_read")
+    )
 
 
 def scan_series(spark: SparkSession, root: str, pattern: str = f"*{SERIES_FILE_SUFFIX}") -> DataFrame:
     """All points of all files as text: folder, signature_id, push_id, revision, value, seq.
 
-    Columns are found by the header of each file, in whatever order it names them. Files are read once per
-    distinct header (usually one); with several, each read keeps the files of its header.
+    Columns are found by the header of each file, in whatever order it names them; a file whose first
+    line names no value column has no points. One pass finds the headers and one reads the points,
+    however many different headers there are: the fields of a line are taken by their file's places.
     """
-    headers = _headers(spark, root, pattern)
-    distinct = [r["header"] for r in headers.select("header").distinct().limit(MAX_HEADERS + 1).collect()]
-    if len(distinct) > MAX_HEADERS:
-        raise ValueError(f"over {MAX_HEADERS} different headers below {root}: not one kind of series file")
-    if len(distinct) <= 1:
-        points = _read_with(spark, root, pattern, distinct[0] if distinct else "push_id,revision,value")
+    places = {c: _place(c) for c in POINT_COLUMNS}
+    headers = _named_columns(spark, root, pattern).select("path", F.size("names").alias("_width"), *[p.alias(f"_at_{c}") for c, p in places.items()])
+    headers = materialize(headers, "series-headers")
+    at = [f"_at_{c}" for c in POINT_COLUMNS]
+    # One row whatever the number of files: how wide the widest is, and whether all agree.
+    spans = [how(c).alias(f"{c}{mark}") for c in at for how, mark in [(F.min, ""), (F.max, "_max"), (F.count, "_n")]]
+    seen = headers.agg(F.max("_width").alias("width"), F.count(F.lit(1)).alias("n"), *spans).first()
+    raw = _raw_fields(spark, root, pattern, seen["width"] or 1)
+    alike = all(seen[c] == seen[f"{c}_max"] and seen[f"{c}_n"] in (0, seen["n"]) for c in at)
+    if alike and seen["n"] == file_listing(spark, root, pattern).count():
+        # Every file has its columns at the same places.
+        placed = raw.withColumns({c: F.lit(seen[c]).cast("int") for c in at})
     else:
-        headers = materialize(headers, "series-headers")
-        parts = [
-            _read_with(spark, root, pattern, h).join(headers.where(F.col("header") == h).select("path"), "path", "left_semi")
-            for h in sorted(distinct)
-        ]
-        points = functools.reduce(DataFrame.unionByName, parts)
-    return points.drop("path").where(F.col("signature_id").isNotNull())
+        placed = join_unique(raw, headers.drop("_width"), ["path"], "inner")
+    field = {c: F.get("_fields", F.col(f"_at_{c}")) for c in POINT_COLUMNS}
+    # Files without a seq column keep the order of their lines.
+    order = F.when(F.col("_at_seq").isNull(), F.col("_read")).otherwise(field["seq"].try_cast("bigint"))
+    values = [as_null(field[c]).alias(c) for c in ["push_id", "revision", "value"]]
+    return placed.where(F.col("signature_id").isNotNull()).select(*SERIES_KEYS, *values, order.alias("seq"))
 
 
 def clean_points(points: DataFrame, need_push: bool = False) -> DataFrame:

@@ -172,3 +172,79 @@ def test_series_columns_are_found_by_each_file_s_header(spark, tmp_path):
         (folder / f"{i}_timeseries_data.csv").write_text(text)
     points = series.clean_points(series.scan_series(spark, str(tmp_path / "data")))
     assert sorted((r["signature_id"], r["push_id"], r["revision"], r["value"]) for r in points.collect()) == [(1, 7.0, "ab", 1.5), (2, 8.0, "cd", 2.5), (3, 9.0, None, 3.5)]
+
+
+def test_many_headers_take_two_passes(spark, tmp_path):
+    """150 files, each with its columns at other places and of another width."""
+    folder = tmp_path / "data" / "autoland1"
+    folder.mkdir(parents=True)
+    rng = np.random.default_rng(4)
+    expected = []
+    for i in range(1, 151):
+        names = [f"x{k}" for k in range(i % 40)] + ["push_id", "value", *(["revision"] if i % 3 else []), *(["seq"] if i % 5 == 0 else [])]
+        names = [names[k] for k in rng.permutation(len(names))]
+        for name in [n for n in names if n == "x3"]:
+            names[names.index(name)] = '"x, 3"'
+        lines = [",".join(names)]
+        for point in range(3):
+            values = {"push_id": str(10 * i + point), "value": f"{i}.{point}5", "revision": f"r{i}", "seq": str(9 - point)}
+            lines.append(",".join(values.get(n, '"a,b"') for n in names))
+            expected.append((i, 10.0 * i + point, float(f"{i}.{point}5"), f"r{i}" if i % 3 else None))
+        (folder / f"{i}_timeseries_data.csv").write_text("\n".join(lines) + "\n")
+    scanned = series.scan_series(spark, str(tmp_path / "data"))
+    plan = scanned._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") <= 2, "the points and their files' places, however many headers"
+    rows = series.clean_points(scanned).orderBy("signature_id", "seq").collect()
+    assert sorted((r["signature_id"], r["push_id"], r["value"], r["revision"]) for r in rows) == sorted(expected, key=lambda e: e[:2])
+    assert [r["seq"] for r in rows if r["signature_id"] == 5] == [7, 8, 9]
+    assert [r["push_id"] for r in rows if r["signature_id"] == 7] == [70.0, 71.0, 72.0]
+
+
+def test_a_file_without_a_value_column_has_no_points(spark, tmp_path):
+    folder = tmp_path / "data" / "f"
+    folder.mkdir(parents=True)
+    (folder / "1_timeseries_data.csv").write_text("push_id,revision,value\n7,ab,1.5\n")
+    (folder / "2_timeseries_data.csv").write_text("amount,other,third\n7,ab,9.5\n")
+    (folder / "3_timeseries_data.csv").write_text("")
+    assert [r["value"] for r in series.scan_series(spark, str(tmp_path / "data")).collect()] == ["1.5"]
+
+
+def test_no_series_files_at_all(spark, tmp_path):
+    (tmp_path / "readme.txt").write_text("nothing here")
+    assert series.scan_series(spark, str(tmp_path)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def alert_parts(root, tmp_path_factory):
+    """The alert table cut into three files of falling size, in several forms."""
+    raw = pd.read_csv(f"{root}/deep/alerts_data.csv", dtype=str, keep_default_na=False)
+    cuts = [0, 20, 90, len(raw)]
+    return raw, [raw.iloc[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+@pytest.mark.parametrize("form", ["folder", "csv_folder", "numbered", "parquet_folder", "parquet_file"])
+def test_alerts_in_many_files_keep_their_order(spark, alert_parts, tmp_path, form):
+    raw, parts = alert_parts
+    place = tmp_path / "in" / {"folder": "alerts_data", "csv_folder": "alerts_data.csv", "parquet_folder": "alerts_data"}.get(form, "")
+    place.mkdir(parents=True, exist_ok=True)
+    if form == "parquet_file":
+        raw.to_parquet(place / "alerts_data.parquet")
+    for i, part in enumerate(parts if form != "parquet_file" else []):
+        if form == "parquet_folder":
+            part.to_parquet(place / f"part-{i}.parquet")
+        else:
+            part.to_csv(place / (f"alerts_data-{i}.csv" if form == "numbered" else f"part-{i}.csv"), index=False)
+    alerts, bugs = files.load_raw_data(spark, str(tmp_path / "in"))
+    got = alerts.orderBy("seq").toPandas()
+    assert bugs is None and got["seq"].is_unique
+    assert got["alert_summary_id"].astype(str).tolist() == raw["alert_summary_id"].tolist()
+    assert got["single_alert_amount_abs"].tolist() == raw["single_alert_amount_abs"].astype(float).tolist()
+    assert 'line one\nline "two", bug 12345' in set(got["alert_summary_notes"]) and "" not in set(got["alert_summary_notes"])
+
+
+def test_files_of_one_table_must_have_one_header(spark, tmp_path):
+    (tmp_path / "alerts_data").mkdir()
+    (tmp_path / "alerts_data" / "a.csv").write_text("alert_summary_id,signature_id\n1,2\n")
+    (tmp_path / "alerts_data" / "b.csv").write_text("signature_id,alert_summary_id\n1,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.load_raw_data(spark, str(tmp_path))[0].collect()
