@@ -311,15 +311,25 @@ def summary_pairs(alerts: DataFrame, summary: DataFrame) -> DataFrame:
     return out.withColumn("anchor", F.lit(None).cast("double"))
 
 
+def anchor_features(points: DataFrame, anchors: DataFrame, file_order: bool = False) -> DataFrame:
+    """(series, anchor, idx, multi-scale features) of every distinct anchor that found a point."""
+    placed = materialize(positions(points, anchors, file_order=file_order), "positions")
+    reach_pre, reach_post = max(s[0] for s in C.WINDOW_SCALES), max(s[1] for s in C.WINDOW_SCALES)
+    features = multi_scale_features(window_arrays(placed, reach_pre, reach_post))
+    return join_unique(anchor_positions(placed), features, [*SERIES_KEYS, "idx"])
+
+
 def window_features(pairs: DataFrame, points: DataFrame, files: DataFrame, file_order: bool = False) -> DataFrame:
     """Multi-scale features of every (summary, signature) pair that has a series."""
     resolved = resolve_series(materialize(pairs, "pairs"), files).where(F.col("folder").isNotNull())
     resolved = materialize(resolved, "resolved-pairs")
-    placed = materialize(positions(points, resolved, file_order=file_order), "positions")
-    reach_pre, reach_post = max(s[0] for s in C.WINDOW_SCALES), max(s[1] for s in C.WINDOW_SCALES)
-    features = multi_scale_features(window_arrays(placed, reach_pre, reach_post))
-    by_anchor = join_unique(anchor_positions(placed), features, [*SERIES_KEYS, "idx"])
-    return join_unique(resolved, by_anchor, [*SERIES_KEYS, "anchor"])
+    return join_unique(resolved, anchor_features(points, resolved, file_order), [*SERIES_KEYS, "anchor"])
+
+
+def without_windows(resolved: DataFrame) -> DataFrame:
+    """Pairs of which none has a push to look for."""
+    names = [f"ts_{m}_{s}" for _, _, s in C.WINDOW_SCALES for m in C.WINDOW_METRICS]
+    return resolved.withColumns({"idx": F.lit(None).cast("bigint"), **{c: F.lit(None).cast("double") for c in names}})
 
 
 def window_features_single(pairs: DataFrame, points: DataFrame, files: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,13 +25,32 @@ def _keys_from(path):
     )
 
 
+def series_paths(spark: SparkSession, root: str, pattern: str = f"*{SERIES_FILE_SUFFIX}") -> DataFrame:
+    """folder, signature_id, path, modificationTime, length of every series file; no content is read."""
+    listed = file_listing(spark, root, pattern)
+    keyed = listed.select(*_keys_from(F.col("path")), "path", "modificationTime", "length")
+    return keyed.where(F.col("signature_id").isNotNull())
+
+
 def series_files(spark: SparkSession, root: str, pattern: str = f"*{SERIES_FILE_SUFFIX}") -> DataFrame:
     """folder, signature_id of every series file; names that are not an integer id are skipped."""
-    keys = file_listing(spark, root, pattern).select(*_keys_from(F.col("path")))
-    return keys.where(F.col("signature_id").isNotNull()).distinct()
+    return series_paths(spark, root, pattern).select(*SERIES_KEYS).distinct()
+
+
+def series_states(spark: SparkSession, root: str, pattern: str = f"*{SERIES_FILE_SUFFIX}") -> DataFrame:
+    """folder, signature_id, state: a fingerprint that changes with any file of the series."""
+    mark = F.xxhash64("path", "modificationTime", "length")
+    files = series_paths(spark, root, pattern).groupBy(*SERIES_KEYS)
+    state = F.concat_ws("-", F.count(F.lit(1)), F.sum("length"), F.hex(F.bit_xor(mark)))
+    return files.agg(state.alias("state"))
+
+
+def as_literal(path: str) -> str:
+    """A path whose characters are not taken for a glob."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
 
 
-def _named_columns(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+def _named_columns(spark: SparkSession, root: str | list[str], pattern: str) -> DataFrame:
     """(path, names) of every file whose first line names a value column, in that line's order."""
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
     lines = reader.text(root).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
@@ -46,7 +67,7 @@ def _place(name: str) -> Column:
     return (F.nullif(F.array_position("names", name), F.lit(0)) - 1).cast("int")
 
 
-def _raw_fields(spark: SparkSession, root: str, pattern: str, width: int) -> DataFrame:
+def _raw_fields(spark: SparkSession, root: str | list[str], pattern: str, width: int) -> DataFrame:
     """(path, file keys, fields, read order) of every line after the first of each file."""
     fields = [f"_field_{i}" for i in range(width)]
     raw = (
@@ -64,8 +85,8 @@ def _raw_fields(spark: SparkSession, root: str, pattern: str, width: int) -> Dat
     )
 
 
-def scan_series(spark: SparkSession, root: str, pattern: str = f"*{SERIES_FILE_SUFFIX}") -> DataFrame:
-    """All points of all files as text: folder, signature_id, push_id, revision, value, seq.
+def scan_series(spark: SparkSession, root: str | list[str], pattern: str = f"*{SERIES_FILE_SUFFIX}") -> DataFrame:
+    """All points of all files (below a folder, or listed) as text: folder, signature_id, push_id, revision, value, seq.
 
     Columns are found by the header of each file, in whatever order it names them; a file whose first
     line names no value column has no points. One pass finds the headers and one reads the points,
