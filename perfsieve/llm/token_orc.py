@@ -5,7 +5,7 @@ each file holds its rows' starts relative to its own first token, and one narrow
 totals turns them into starts in the whole collection. Stripes can be read in parallel, and a look-up
 by id skips files and stripes by their statistics and Bloom filters.
 
-The tokenizer of the library encodes each distinct piece once per task and remembers it: with a
+The tokenizer of the library encodes each distinct piece once per task (or worker, if asked) and remembers it: with a
 byte-level pre-tokenizer every space between two other characters begins a new piece, so a text's
 ids are its pieces' ids one after another. Texts where a space touches other white space, and
 tokenizers of another make, are encoded whole.
@@ -162,7 +162,7 @@ def encoder(path: str, memo: int = MEMO) -> Encoder:
     return _ENCODERS[path, memo]
 
 
-def _encode(path: str, end_id: int, memo: int):
+def _encode(path: str, end_id: int, memo: int, keep: bool):
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +183,8 @@ def _encode(path: str, end_id: int, memo: int):
                 yield pa.RecordBatch.from_arrays(columns, schema=_ARROW)
                 start += int(ends[-1])
             give_back()
-        coder.rest()
+        if not keep:
+            coder.rest()
 
     return tidy(encode)
 
@@ -196,9 +197,12 @@ def write_tokens(
     id_col: str = "doc_id",
     text_col: str = "text",
     memo: int = MEMO,
+    keep: bool = False,
 ) -> None:
     """Write the ids of every document below ``path``, in ascending id order (null ids first).
 
+    With ``keep`` a Python worker's memory of pieces, bounded by ``memo``, outlives the task and serves the next.
+
     Null texts are empty: the end id alone. Rows that share an id are ordered by a hash of their
     text; equal rows follow each other. An empty table leaves no rows; other columns are not read.
     The number of files follows spark.sql.shuffle.partitions.
@@ -208,7 +212,7 @@ def write_tokens(
     keys = ["doc_id", F.xxhash64("text")]
     dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
     (
-        dealt.mapInArrow(_encode(tokenizer, end_id, memo), SCHEMA)
+        dealt.mapInArrow(_encode(tokenizer, end_id, memo, keep), SCHEMA)
         .write.option("compression", "zstd")
         .option("orc.stripe.size", str(STRIPE_BYTES))
         .option("orc.row.index.stride", str(ROWS_PER_INDEX))
@@ -256,19 +260,20 @@ def token_facts(spark: SparkSession, path: str) -> DataFrame:
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids").mapInArrow(tidy(_facts), FACTS)
 
 
-def tokenised(docs: DataFrame, tokenizer: str | None = None, memo: int = MEMO) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer: str | None = None, memo: int = MEMO, keep: bool = False) -> DataFrame:
     """Write ``docs`` to a fresh folder in the shared place and give the facts read back from it."""
     if tokenizer is None:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     path = work_folder(docs.sparkSession, "token-orc")
-    write_tokens(docs, path, str(tokenizer), memo=memo)
+    write_tokens(docs, path, str(tokenizer), memo=memo, keep=keep)
     return token_facts(docs.sparkSession, path)
 
 
 def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenised(table(spark, sf_dir, "documents"))
+    # Tokenising is all this job does: no other operator waits for the workers' memory.
+    return tokenised(table(spark, sf_dir, "documents"), keep=True)
 
 
 QUERIES = {"op1_token_orc": _query}
