@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -29,6 +30,34 @@ def test_pieces_equal_the_whole(text):
     assert np.frombuffer(token_orc.encoder(PATH).encode(text), "<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(list(" \n\t\x85\x7f\xa0ªµ×÷Āº'sÀÿé.,!_9²日") + [" the", " Straße", "<|endoftext|>", " 12"]), max_size=12).map("".join), max_size=6))
+def test_texts_encoded_together_equal_the_whole(texts):
+    counts, ids = token_orc.encoder(PATH).encode_all(pa.array(texts, pa.string()))
+    expected = [WHOLE.encode(text, add_special_tokens=False).ids for text in texts]
+    assert counts.tolist() == [len(e) for e in expected] and ids.tolist() == [i for e in expected for i in e]
+
+
+def test_each_distinct_word_of_many_texts_is_encoded_once():
+    coder, asked = token_orc.Encoder(PATH), []
+    model = coder.model
+    coder.model = lambda form: asked.append(form) or model(form)
+    coder.encode_all(pa.array([f"x red, blue{n % 3}.\nred (blue) once{'abcdefgh'[n % 8]}" for n in range(1000)] + [" twice" * 5]))
+    assert len(asked) == len(set(asked)) < 30
+    coder.encode_all(pa.array([" red red blue blue"]))
+    assert len(asked) == len(set(asked))  # repeated words are remembered
+    del asked[:]
+    coder.encode_all(pa.array([" " + " ".join(f"{a}{b}q" for a in "abcdefgh" for b in "abcdefgh")]))
+    assert len(asked) == 64 and len(coder.words) + len(coder.words.older) < 30  # a word that came once is not
+
+
+def test_a_batch_is_cut_by_bytes(monkeypatch):
+    monkeypatch.setattr(token_orc, "SLICE_BYTES", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(["", "a" * 9, "b" * 25, "c", ""])], ["doc_id", "text"])
+    assert [s.column(0).to_pylist() for s in token_orc._slices(batch)] == [[0, 1, 2], [3, 4]]
+    assert not list(token_orc._slices(batch.slice(0, 0)))
+
+
 def test_forgotten_pieces_are_made_again():
     memo = token_orc._Memo(2, str.encode)
     assert [memo[k] for k in "abcdabcaab"] == [k.encode() for k in "abcdabcaab"] and len(memo) <= 2
