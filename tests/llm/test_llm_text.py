@@ -161,6 +161,20 @@ def test_licences_are_named_and_prose_is_not(spark):
     assert licenses.license_families(no_docs(spark)).count() == 0
 
 
+def test_paragraphs_without_a_telling_word_are_not_scored(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    scanner = licenses.Scanner(docs)
+    assert scanner.anchors
+    inside = "\n".join(f"x{a}x" for a in scanner.anchors)
+    whole = "\n".join(["", *[f"({a.upper()})" for a in scanner.anchors], "Straße"])
+    rows = spark.createDataFrame([(1, inside), (2, whole), (3, None), (4, "")], "doc_id long, text string")
+    kept = {r["doc_id"]: [c["paragraph"] for c in r["c"]] for r in rows.select("doc_id", scanner.candidates(F.col("text")).alias("c")).collect()}
+    assert kept == {1: [], 2: list(range(1, len(scanner.anchors) + 1)), 3: [], 4: []}
+    few = sorted(map(str, scanner.scan(docs).collect()))
+    scanner.anchors = None  # every paragraph is scored
+    assert few == sorted(map(str, scanner.scan(docs).collect())) and few
+
+
 NAMES = pseudonyms.Pseudonymiser("a key")
 GOOD = [
     "4111 1111 1111 1111", "4041894974608795", "+1 (017) 555-7713", "+49 30 1234567", "97.51.17.173", "123-45-6789",
