@@ -63,6 +63,8 @@ _EMPTY_IS_NULL = {"alert_summary_related_alerts"}
 def scan_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_folder(spark, "alerts") + "/alerts_data.csv"
     writer = P.alerts(spark, sf_dir, SCANNED).write.option("header", "true").option("escape", '"')
+    # A file with line breaks inside quotes is one task's anyway, packed or not.
+    writer = writer.option("compression", "gzip")
     writer.option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
     return comparable(files.read_alerts(spark, path))
 
